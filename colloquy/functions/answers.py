@@ -66,7 +66,7 @@ def read_score(raw: Column) -> tuple[Column, Column]:
         .otherwise(text.try_cast("double"))
     )
     cut = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
-    clamped = F.greatest(F.lit(1), F.least(F.lit(5), cut)).cast("int")
+    clamped = F.when(cut.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), cut))).cast("int")
     missing = value.isNotNull() & score.isNull()
     return (
         F.when(missing, DEFAULT_SCORE).otherwise(F.coalesce(clamped, F.lit(DEFAULT_SCORE))),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.session import materialise
+
 BUCKET_HEX = 4
 
 # The sizes of the golden sample.
@@ -62,11 +64,16 @@ def golden_sample(
     """Up to ``per_stratum`` rows of each stratum and a random slice of what is left.
 
     Adds ``suggested_intent``: the stratum, or ``default`` where a sliced row has none.
+    The draws work on ids and strata only, which are written out once because a stratum
+    is often the result of costly rules; the chosen ids then fetch their rows.
     """
-    picked = sample_strata(df, stratum, per_stratum, seed, id_col)
-    left = df.join(picked.select(id_col), id_col, "left_anti")
+    keys = materialise(df.select(id_col, stratum), "strata")
+    picked = sample_strata(keys, stratum, per_stratum, seed, id_col)
+    left = keys.join(picked.select(id_col), id_col, "left_anti")
     chosen = picked.unionByName(sample_rows(left, random_slice, seed + 1, id_col))
-    return chosen.withColumn("suggested_intent", F.coalesce(stratum, F.lit(default)))
+    chosen = materialise(
+        chosen.withColumn("suggested_intent", F.coalesce(stratum, F.lit(default))), "chosen")
+    return df.drop(stratum).join(chosen, id_col)
 
 
 def blank_labels(golden: DataFrame) -> DataFrame:
@@ -113,20 +120,21 @@ def stratified_split(
     The rows with the lowest hash keys of each class are the test rows. Instead of sorting
     whole classes, rows are counted per class and leading hash digits; only the one bucket
     in which a class's quota ends is ranked row by row. With 4 digits that is 1/65536 of
-    a class, so a class may hold most of the table. Rows without a label are left out.
+    a class, so a class may hold most of the table. The written table of those buckets has
+    one row per class and a known size, so the rows meet it without a shuffle. Rows without
+    a label are left out.
     """
     rows = df.where(F.col(label).isNotNull()).withColumn("_key", hash_key(seed, id_col))
     rows = rows.withColumn("_bucket", F.substring("_key", 1, bucket_hex))
     buckets = rows.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("n"))
     quotas = split_quotas(buckets.groupBy(label).agg(F.sum("n").alias("n")), label, test_share)
     upto = Window.partitionBy(label).orderBy("_bucket")
-    edge = (
+    edge = materialise(
         buckets.withColumn("upto", F.sum("n").over(upto))
         .join(quotas, label)
         .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
         .select(label, F.col("_bucket").alias("_edge"),
-                (F.col("quota") - (F.col("upto") - F.col("n"))).alias("_take"))
-    )
+                (F.col("quota") - (F.col("upto") - F.col("n"))).alias("_take")), "edges")
     tagged = rows.join(edge, label, "left")
     at_edge = F.col("_bucket") == F.col("_edge")
     ranked = tagged.where(at_edge).withColumn(

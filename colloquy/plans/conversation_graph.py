@@ -35,7 +35,7 @@ def conversation_graph(turns: DataFrame, star: bool = False) -> DataFrame:
     rows = (
         pieces.join(before, ["conv_id", "turn"], "left")
         .join(after, ["conv_id", "turn"], "left")
-        .select("*", F.posexplode("pieces").alias("part", "piece"))
+        .select("*", F.posexplode_outer("pieces").alias("part", "piece"))
     )
     last = F.col("part") == F.size("pieces") - 1
     up_turn = F.when(F.col("n_before").isNotNull(),

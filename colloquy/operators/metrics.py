@@ -145,9 +145,13 @@ def kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = (),
 
 def pearson(df: DataFrame, a: str, b: str, by: Sequence[str] = (),
             min_pairs: int = MIN_PAIRS) -> DataFrame:
-    """``(*by, n, pearson_r)``; groups below ``min_pairs`` are left out."""
+    """``(*by, n, pearson_r)``; groups below ``min_pairs`` are left out.
+
+    Null where a rater is constant.
+    """
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    r = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
     return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), r.alias("pearson_r")).where(
         F.col("n") >= min_pairs)
 

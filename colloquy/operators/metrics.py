@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.session import materialise
+
 MIN_PAIRS = 10
 MIN_ABLATION_ROWS = 5
 
@@ -181,15 +183,18 @@ def error_listing(df: DataFrame, truth: str, pred: str, id_col: str, text: str,
                   examples: int = 3) -> DataFrame:
     """``(truth, pred, n, ids, texts)`` of wrong predictions with the first examples by id.
 
-    Examples are cut per map task before the shuffle.
+    The wrong rows are written out once as ids and labels. Examples are cut per map task
+    before the shuffle, and only their texts are fetched.
     """
-    wrong = df.where(F.col(truth) != F.col(pred)).select(
-        F.col(truth).alias("truth"), F.col(pred).alias("pred"),
-        F.col(id_col).alias("id"), F.col(text).alias("text"))
+    wrong = materialise(df.where(F.col(truth) != F.col(pred)).select(
+        F.col(truth).alias("truth"), F.col(pred).alias("pred"), F.col(id_col).alias("id")), "wrong")
     w = Window.partitionBy("truth", "pred").orderBy("id")
+    picked = materialise(
+        wrong.withColumn("place", F.row_number().over(w)).where(F.col("place") <= examples),
+        "examples")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     shown = (
-        wrong.withColumn("place", F.row_number().over(w)).where(F.col("place") <= examples)
-        .groupBy("truth", "pred")
+        texts.join(picked, "id").groupBy("truth", "pred")
         .agg(F.array_sort(F.collect_list(F.struct("place", "id", "text"))).alias("e"))
     )
     counts = wrong.groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n"))

@@ -94,29 +94,40 @@ def reply_edges(tweets: DataFrame, brand: str, expand_responses: bool = False) -
     return edges.select("node", "next")
 
 
+def _four_hops(edges: DataFrame) -> DataFrame:
+    """``(node, n1, n2, n3, n4)``: the next four nodes, null past the end of a chain."""
+    one = edges.select("node", F.col("next").alias("n1"))
+    two = one.join(one.select(F.col("node").alias("n1"), F.col("n1").alias("n2")), "n1", "left")
+    onward = two.select(
+        F.col("node").alias("n2"), F.col("n1").alias("n3"), F.col("n2").alias("n4"))
+    return two.join(onward, "n2", "left").select("node", "n1", "n2", "n3", "n4")
+
+
 def follow(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """``(start, pos, node)``: every node reached from ``start`` along unique out-edges.
 
-    Jumps double in length each round, so a chain of n nodes takes log2(n) rounds. A node
-    counts at its first position only, which ends cycles and self-loops. Each round is
-    written out, which keeps the plan short and survives lost executors.
+    Each round makes the known part of every chain four times as long, so a chain of n
+    nodes takes log4(n) rounds. A node counts at its first position only, which ends
+    cycles and self-loops. Each round is written out, which keeps the plan short and
+    survives lost executors.
     """
-    jump = materialise(edges, "jump")
     reached = starts.select("start", F.lit(0).alias("pos"), F.col("start").alias("node"))
     known, step = None, 1
-    while not jump.isEmpty():
-        onward = reached.join(jump, "node").select(
-            "start", (F.col("pos") + step).alias("pos"), F.col("next").alias("node"))
+    while not edges.isEmpty():
+        hops = materialise(_four_hops(edges), "hops")
+        later = F.array(*[
+            F.struct((F.col("pos") + k * step).alias("pos"), F.col(f"n{k}").alias("node"))
+            for k in (1, 2, 3)])
+        onward = reached.join(hops, "node").select("start", F.inline(later)).where(
+            "node is not null")
         reached = materialise(
             reached.unionByName(onward).groupBy("start", "node").agg(F.min("pos").alias("pos")),
             "reached")
         size = reached.count()
         if size == known:
             break
-        known, step = size, step * 2
-        far = jump.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        jump = materialise(
-            jump.join(far, "next").select("node", F.col("far").alias("next")), "jump")
+        known, step = size, step * 4
+        edges = hops.where("n4 is not null").select("node", F.col("n4").alias("next"))
     return reached.select("start", "pos", "node")
 
 
@@ -131,7 +142,7 @@ def stitched_replies(
     def part(text: Column) -> Column:
         return tx.strip_agent_suffix(tx.redact_handles(text), bare_initials)
 
-    edges = reply_edges(tweets, brand, expand_responses)
+    edges = materialise(reply_edges(tweets, brand, expand_responses), "edges")
     starts = replies.select(F.col("reply_id").alias("start")).join(
         edges.select(F.col("node").alias("start")), "start", "left_semi")
     chains = follow(starts, edges).where("pos > 0")
@@ -204,7 +215,7 @@ def build_threads(
 
     ``tweet_id`` must be unique; see ``duplicate_ids`` and ``unique_tweets``.
     """
-    replies = first_replies(tweets, brand, order)
+    replies = materialise(first_replies(tweets, brand, order), "replies")
     threads = stitched_replies(tweets, replies, brand, expand_responses, bare_initials)
     threads = with_prior_context(tweets, threads, hops)
     return threads.select(

@@ -27,6 +27,12 @@ def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def preview(df: DataFrame, id_col: str, *texts: str, n: int = 3, chars: int = 100) -> DataFrame:
+    """The first ``n`` rows by id with texts cut to their first characters."""
+    return first_rows(df, n, id_col).select(
+        id_col, *[F.substring(t, 1, chars).alias(t) for t in texts])
+
+
 def sample_rows(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
     """``min(n, rows)`` rows."""
     return df.orderBy(hash_key(seed, id_col), id_col).limit(n)

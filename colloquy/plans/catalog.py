@@ -16,6 +16,7 @@ from colloquy.functions import answers as an
 from colloquy.functions import context as cx
 from colloquy.functions import rules as rl
 from colloquy.functions import text as tx
+from colloquy.functions.vectors import norm, unit
 from colloquy.operators import labels as lb
 from colloquy.operators import metrics as mt
 from colloquy.operators import sampling as sp
@@ -33,7 +34,9 @@ from colloquy.plans import evaluation as ev
 from colloquy.plans.agent import classify_prompt, decide_prompt, draft_prompt, run_agent
 from colloquy.plans.conversation_graph import BRAND, conversation_graph
 from colloquy.plans.prompts import Templates
-from colloquy.session import materialise, spread
+from colloquy.session import materialise, scratch_path, spread
+from colloquy.sources import tables as tb
+from colloquy.streaming.live import label_messages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,6 +145,68 @@ def rolling6(spark, sf_dir):
     return rows.select("conv_id", "turn", F.array_join(held, "\n").alias("buffer"))
 
 
+def thread_preview(spark, sf_dir):
+    return sp.preview(_threads(spark, sf_dir), "thread_id", "customer_text", "brand_reply")
+
+
+# ---- sources and sinks ----
+
+def tweet_csv(spark, sf_dir):
+    """The reply graph written as CSV, with quotes and line breaks, and read back."""
+    path = scratch_path(spark, "tweets")
+    (_graph(spark, sf_dir).write.option("header", True).option("quote", '"')
+     .option("escape", '"').csv(path))
+    return tb.read_tweets_csv(spark, path).select(
+        "tweet_id", "author_id", "inbound", "text", "response_tweet_id",
+        "in_response_to_tweet_id")
+
+
+def thread_csv(spark, sf_dir):
+    """Threads exported to CSV with their turns as JSON, and read back."""
+    path = scratch_path(spark, "threads")
+    tb.write_threads_csv(_threads(spark, sf_dir), path)
+    return tb.read_threads_csv(spark, path).select(
+        "thread_id", "customer_text", "brand_reply", _lines(F.col("prior_context")).alias("context"),
+        "escalated")
+
+
+def prediction_table(spark, sf_dir):
+    """Two systems' predictions, one folder each, counted from the folders."""
+    path = scratch_path(spark, "predictions")
+    rows = _docs(spark, sf_dir).select("doc_id", F.inline(F.array(
+        F.struct(F.lit("rules").alias("system"), F.col("pred").alias("pred")),
+        F.struct(F.lit("trivial").alias("system"), F.lit("en").alias("pred")))))
+    tb.write_predictions(rows, path)
+    return spark.read.parquet(path).groupBy("system", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+def vector_table(spark, sf_dir):
+    """The vector table is built once; a second build without force changes nothing."""
+    path = scratch_path(spark, "vectors")
+    rows = embeddings(spark, sf_dir).select(
+        F.col("vec_id").alias("thread_id"), F.lit("").alias("customer_text"),
+        F.lit("").alias("brand_reply"), F.lit(False).alias("escalated"),
+        unit(F.col("embedding")).cast("array<float>").alias("embedding"))
+    tb.write_vectors(rows, path)
+    tb.write_vectors(rows.unionByName(rows), path)
+    stored = tb.read_vectors(spark, path)
+    return stored.select("thread_id", F.round(norm(F.col("embedding")), 4).alias("length"))
+
+
+def live_labels(spark, sf_dir):
+    """Rules on a stream of turns, run until the input is used up."""
+    table = conversations(spark, sf_dir)
+    turns = spark.readStream.schema(table.schema).option(
+        "pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    out, marks = scratch_path(spark, "live"), scratch_path(spark, "live-marks")
+    rules = {label: (word,) for word, label in PROMPT_RULES}
+    labelled = label_messages(turns, "text", rules).select(
+        "conv_id", "turn", "redacted", "intent", "decision")
+    (labelled.writeStream.format("parquet").option("path", out)
+     .option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(labelled.schema).parquet(out)
+
+
 # ---- text and rules ----
 
 def redact_clean(spark, sf_dir):
@@ -536,7 +601,8 @@ def train_report(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     thread_table, threads_stitch, first_reply, threads_context, escalation_totals,
-    context_share, pool_sizes, context_blocks, rolling6,
+    context_share, pool_sizes, context_blocks, rolling6, thread_preview,
+    tweet_csv, thread_csv, prediction_table, vector_table, live_labels,
     redact_clean, rule_label, rule_histogram, keyword_decision, resolve_labels, rating_parse,
     stratified_sample, random_slice, golden_sample, stratified_split, batch_cap, unlabelled,
     label_progress, append_labels,

@@ -6,7 +6,8 @@ conditional sums, and nearest neighbours from joins over all pairs.
 
 from __future__ import annotations
 
-from colloquy.functions.rules import ESCALATED_REASON, NOT_ESCALATED_REASON
+from colloquy.functions.rules import (ESCALATED_REASON, ESCALATION_WORDS,
+                                      NOT_ESCALATED_REASON)
 from colloquy.operators.predictors import CANNED_REPLY, CONSTANT_REASON
 
 
@@ -270,6 +271,28 @@ SELECT len(ctx) > 0 AS has_context, count(*) AS n FROM threads GROUP BY 1""",
     "rolling6": """SELECT conv_id, turn, coalesce(array_to_string(list(role || ':' || text) OVER (
   PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), chr(10)), '')
   AS buffer FROM conversations""",
+    "thread_preview": f"""WITH {_THREADS} SELECT thread_id, substring(customer_text, 1, 100)
+  AS customer_text, substring(brand_reply, 1, 100) AS brand_reply
+FROM threads ORDER BY thread_id LIMIT 3""",
+    "tweet_csv": f"""WITH {_PIECES}
+SELECT id AS tweet_id, CASE WHEN role = 'assistant' THEN 'brand' ELSE role END AS author_id,
+  role = 'user' AS inbound, text, lead(id) OVER w AS response_tweet_id,
+  lag(id) OVER w AS in_response_to_tweet_id
+FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY pos)""",
+    "thread_csv": f"""WITH {_THREADS}
+SELECT thread_id, customer_text, brand_reply, coalesce({_LINES}, '') AS context, escalated
+FROM threads WHERE customer_text <> '' AND brand_reply <> ''""",
+    "prediction_table": f"""WITH {_DOCS}
+SELECT 'rules' AS system, pred, count(*) AS n FROM docs GROUP BY pred
+UNION ALL SELECT 'trivial', 'en', count(*) FROM docs""",
+    "vector_table": """SELECT vec_id AS thread_id, CAST(1.0 AS DOUBLE) AS length
+FROM embeddings""",
+    "live_labels": f"""SELECT conv_id, turn, {_redact('text')} AS redacted,
+  CASE WHEN contains(lower(text), 'que ') THEN 'fr' WHEN contains(lower(text), 'und ') THEN 'de'
+       WHEN contains(lower(text), 'los ') THEN 'es' ELSE 'other' END AS intent,
+  CASE WHEN regexp_matches(lower(text), '\b({"|".join(ESCALATION_WORDS)})\b') THEN 'escalate'
+       ELSE 'auto' END AS decision
+FROM conversations""".replace("won'?t", "won''?t"),
     "redact_clean": f"""SELECT doc_id, {_redact('text')} AS redacted,
   {_strip("regexp_replace(text, '\\s+\\d+\\s+\\^[A-Z]{2,3}\\s*$', '')")} AS stripped,
   {_clean('text')} AS cleaned FROM documents""",

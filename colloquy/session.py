@@ -43,6 +43,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/colloquy/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the checkpoint folder and read it back.
 
@@ -51,7 +56,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     table is in fact below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/colloquy/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

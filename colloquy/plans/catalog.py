@@ -550,8 +550,7 @@ def judge_scores(spark, sf_dir):
 
 def judge_calibration(spark, sf_dir):
     _, golden = _golden(spark, sf_dir)
-    rows = golden.count()
-    return _rounded(ev.judge_calibration(golden, stand_in_model, n=rows),
+    return _rounded(ev.judge_calibration(golden, stand_in_model, n=None),
                     "judge_human_kappa", "judge_human_pearson_r", "within_one", "mean_offset")
 
 

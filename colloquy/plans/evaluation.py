@@ -72,16 +72,18 @@ def judge_mean(preds: DataFrame, respond: Responder, n: int = JUDGED_ROWS,
     return rows.agg(F.avg("judge_score").alias("judge_mean_score"))
 
 
-def judge_calibration(rated: DataFrame, respond: Responder, n: int = CALIBRATED_ROWS,
+def judge_calibration(rated: DataFrame, respond: Responder, n: int | None = CALIBRATED_ROWS,
                       **options: object) -> DataFrame:
     """One row: agreement of judge and human on the same replies; empty below 10 pairs.
 
-    The first ``n`` rated rows by id count. The historical reply is judged if the column
+    The first ``n`` rated rows by id count, or all of them without ``n``. The historical reply is judged if the column
     is there, else the predicted one.
     """
     quality = F.col("reply_quality").cast("string")
-    rows = first_rows(rated.where(labelled(quality)), n, "thread_id").withColumn(
-        "human", rating(F.col("reply_quality"))).where("human is not null")
+    rows = rated.where(labelled(quality))
+    if n:
+        rows = first_rows(rows, n, "thread_id")
+    rows = rows.withColumn("human", rating(F.col("reply_quality"))).where("human is not null")
     reply = "brand_reply" if "brand_reply" in rated.columns else "pred_reply"
     pairs = judge(rows, respond, reply, **options)
     agreed = mt.kappa(pairs, "judge_score", "human").select(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,7 +105,3 @@ def escalation_by_keyword(
 def labelled(column: Column) -> Column:
     """True for a label that is neither null nor blank."""
     return F.coalesce(F.trim(column) != "", F.lit(False))
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

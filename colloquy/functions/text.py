@@ -81,4 +81,4 @@ def yes_no(raw: Column) -> Column:
 
 def rating(raw: Column) -> Column:
     """A numeric label cut to an integer; null when it is not a number."""
-    return F.trim(raw.cast("string")).try_cast("double").cast("int")
+    return F.trim(raw.cast("string")).try_cast("double").try_cast("int")

@@ -76,8 +76,8 @@ def judge_calibration(rated: DataFrame, respond: Responder, n: int | None = CALI
                       **options: object) -> DataFrame:
     """One row: agreement of judge and human on the same replies; empty below 10 pairs.
 
-    The first ``n`` rated rows by id count, or all of them without ``n``. The historical reply is judged if the column
-    is there, else the predicted one.
+    The first ``n`` rated rows by id count, or all of them without ``n``. The historical
+    reply is judged if the column is there, else the predicted one.
     """
     quality = F.col("reply_quality").cast("string")
     rows = rated.where(labelled(quality))

@@ -114,9 +114,7 @@ _FLAGGED = f"""flagged AS (
 
 
 def _per_class(source: str, truth: str, pred: str, by: str = "") -> str:
-    """Class scores with one correlated count per label; ``by`` ends with a comma."""
-    key = by.rstrip(", ")
-    part = f"PARTITION BY {key}" if key else ""
+    """Scores per label from one row for each truth and each prediction; ``by`` ends with a comma."""
     group = f"GROUP BY {by} label"
     return f"""per_class AS (
   SELECT {by} label, sum(tp) AS tp, sum(predicted) AS predicted, sum(support) AS support,

@@ -153,6 +153,8 @@ def test_judge_calibration(spark):
         rows, "thread_id string, customer_text string, brand_reply string, reply_quality string")
     got = ev.judge_calibration(rated, model).first().asDict()
     assert got["judge_calibration_n"] == 12 and got["judge_human_kappa"] == 0.0
+    assert ev.judge_calibration(rated, model, n=11).first()["judge_calibration_n"] == 11
+    assert ev.judge_calibration(rated, model, n=None).first()["judge_calibration_n"] == 12
     assert ev.judge_calibration(rated.limit(5), model).count() == 0
     preds = rated.withColumn("pred_reply", F.lit("r"))
     assert ev.judge_mean(preds, model).first()[0] == 4.0

@@ -3,10 +3,10 @@ import math
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from colloquy.operators import labels as lb
 from colloquy.operators import sampling as sp
+from colloquy.session import spread
 
 SIZES = {"a": 30, "b": 5, "c": 100}
 
@@ -87,6 +87,18 @@ def test_labels(spark, rows):
     assert lb.majority(tie, "label").first()["label"] == "a"
 
 
+def test_first_rows_and_preview(spark, rows):
+    assert [r["id"] for r in sp.first_rows(rows, 2, "id").collect()] == ["a0", "a1"]
+    texts = spark.createDataFrame([(2, "x" * 200), (1, "é" * 200)], "id int, t string")
+    assert [tuple(r) for r in sp.preview(texts, "id", "t", n=1).collect()] == [(1, "é" * 100)]
+
+
+def test_small_scans_are_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == cores
+    assert spread(spark.range(0, 10, 1, cores + 3)).rdd.getNumPartitions() == cores + 3
+
+
 def test_map_side_limit_is_in_the_plan(rows):
     plan = sp.sample_strata(rows, "label", 22, 1, "id")._jdf.queryExecution().executedPlan()
     assert "WindowGroupLimit" in plan.toString()

@@ -43,7 +43,9 @@ def test_resolve_label(spark):
 
 
 def test_rating(spark):
-    assert values(spark, ["4", "4.7", " 3 ", "x", "", None], tx.rating) == [4, 4, 3, None, None, None]
+    assert values(spark, ["4", "4.7", " 3 ", "x", "", None, "1e99", "nan"], tx.rating) == [
+        4, 4, 3, None, None, None, None, None]
+    assert values(spark, ["y", " No", "maybe", None], tx.yes_no) == ["yes", "no", None, None]
 
 
 def test_first_match_takes_the_first_label(spark):

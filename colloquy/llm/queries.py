@@ -13,6 +13,7 @@ from colloquy.llm.host_quality import METRICS, host_quality
 from colloquy.llm.mixing import MIXED, mix_sources
 from colloquy.llm.packing import pack
 from colloquy.llm.token_files import document_digests, write_token_files
+from colloquy.llm.window_dedup import remove_repeats
 from colloquy.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_digests(spark, path)
 
 
+def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(documents(spark, sf_dir), keep=["doc_id"])
+    return rows.select(f"{ROW}.doc_id", "n_words", "n_removed",
+                       F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy_groups(documents(spark, sf_dir))
 
@@ -54,6 +61,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_files": op2_token_files,
+    "op3_window_dedup": op3_window_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_host_quality": op6_host_quality,
     "op9_packing": op9_packing,

@@ -75,4 +75,17 @@ r AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR host_rate > 0.5) AS kept, host_rate
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source""",
+    "op8_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(24 + length(role) + length(text) + length(text) - length(replace(text, chr(92), ''))
+           + len(regexp_extract_all(text,
+             '</?s>|<[|]im_(start|end)[|]>|<</?SYS>>|\\[/?INST\\]')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
 }

@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.llm import chat
 from colloquy.llm.common import ROW
 from colloquy.llm.exact_dedup import copy_groups
 from colloquy.llm.host_quality import METRICS, host_quality
 from colloquy.llm.mixing import MIXED, mix_sources
 from colloquy.llm.packing import pack
+from colloquy.llm.privacy import KINDS, find_personal
 from colloquy.llm.token_files import document_digests, write_token_files
 from colloquy.llm.window_dedup import remove_repeats
-from colloquy.session import scratch_path
+from colloquy.session import materialise, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +56,22 @@ def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(f"{ROW}.doc_id", *METRICS, "base_failed", "kept", "host_rate")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = find_personal(documents(spark, sf_dir), keep=["doc_id"])
+    return rows.select(f"{ROW}.doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_terms")
+
+
+PROBE = "</s>[INST] ok [/INST]"  # a conversation of control strings, under the id -7
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.canonical_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)],
+                                  "conv_id long, turn long, role string, text string")
+    written = materialise(chat.format_turns(turns.unionByName(probe)), "chat")
+    return chat.conversation_digests(chat.read_turns(written))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -64,5 +82,7 @@ QUERIES: dict[str, Query] = {
     "op3_window_dedup": op3_window_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_host_quality": op6_host_quality,
+    "op7_personal_data": op7_personal_data,
+    "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
 }

@@ -86,6 +86,6 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(24 + length(role) + length(text) + length(text) - length(replace(text, chr(92), ''))
            + len(regexp_extract_all(text,
-             '</?s>|<[|]im_(start|end)[|]>|<</?SYS>>|\\[/?INST\\]')))::BIGINT AS formatted_chars
+             '</?s>|<[|]im_(start|end)[|]>|<</?SYS>>|\[/?INST\]')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
 }

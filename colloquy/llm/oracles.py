@@ -88,4 +88,22 @@ SELECT conv_id, count(*) AS n_turns,
            + len(regexp_extract_all(text,
              '</?s>|<[|]im_(start|end)[|]>|<</?SYS>>|\[/?INST\]')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op10_jaccard_join": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, {WORDS} AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i+4]) END) AS gram FROM d),
+s AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+l AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id
+  JOIN s p ON p.doc_id = x.doc_id JOIN s q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING count(*) / (p.n + q.n - count(*)) >= 0.8),
+r AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (
+  SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a)
+SELECT c.doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links, c.doc_id = class_id AS is_first
+FROM c LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = c.doc_id""",
 }

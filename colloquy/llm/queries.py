@@ -11,6 +11,7 @@ from colloquy.llm import chat
 from colloquy.llm.common import ROW
 from colloquy.llm.exact_dedup import copy_groups
 from colloquy.llm.host_quality import METRICS, host_quality
+from colloquy.llm.jaccard_join import join_sets
 from colloquy.llm.mixing import MIXED, mix_sources
 from colloquy.llm.packing import pack
 from colloquy.llm.privacy import KINDS, find_personal
@@ -76,6 +77,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_sets(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "is_first")
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_files": op2_token_files,
@@ -85,4 +90,5 @@ QUERIES: dict[str, Query] = {
     "op7_personal_data": op7_personal_data,
     "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
+    "op10_jaccard_join": op10_jaccard_join,
 }

@@ -1,0 +1,99 @@
+"""The similarity join against a direct comparison of all sets."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+
+from colloquy.llm import jaccard_join as jj
+from colloquy.llm.components import components
+
+SCHEMA = "doc_id long, text string, set_id string, copies int, band string"
+
+
+def grams(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return frozenset(tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def brute(rows, threshold):
+    sets = [grams(t) for _, t in rows]
+    n = len(rows)
+    links = [[j for j in range(n) if j != i and sets[i] and sets[j]
+              and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold] for i in range(n)]
+    group = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(n):
+            least = min([group[i], *(group[j] for j in links[i])])
+            changed |= least != group[i]
+            group[i] = least
+    out = []
+    for i in range(n):
+        ids = [rows[j][0] for j in range(n) if group[j] == group[i] and rows[j][0] is not None]
+        out.append((rows[i][0], min(ids, default=None), len(links[i])))
+    return sorted(out, key=str)
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)] + ["é", "<b>", "\u0085"]
+    rows = []
+    for base in range(12):
+        words = rng.choices(vocabulary, k=rng.choice([60, 120, 300]))
+        for _ in range(rng.choice([1, 2, 12, 40]) if base else 60):
+            w = list(words)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            rows.append((len(rows), rng.choice([" ", "\n"]).join(w)))
+    short = ["", " \n", None, "a b", "a  b", "a b c", "a b c d e", "a b c d e"]
+    rows += [(1000 + i, t) for i, t in enumerate(short)] + [(None, rows[0][1]), (None, "alone here now"), rows[5]]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed,chunk", [(1, 256), (2, 5)])
+def test_against_all_pairs(spark, seed, chunk):
+    rows = corpus(seed)
+    docs = spark.createDataFrame([(d, t, "x", 1, None) for d, t in rows], SCHEMA)
+    got = jj.join_sets(docs, chunk=chunk).collect()
+    want = brute(rows, 0.8)
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == want
+    heads = [(r.class_id, r.doc_id) for r in got if r.is_first and r.doc_id is not None]
+    assert all(a == b for a, b in heads)
+    kept = jj.drop_near_copies(docs, chunk=chunk)
+    assert kept.columns == docs.columns
+    alone = sum(1 for w in want if w[2] == 0)
+    assert kept.count() == alone + len({w[1] for w in want if w[2]})
+
+
+def test_empty(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert jj.join_sets(none).count() == 0 and jj.drop_near_copies(none).count() == 0
+
+
+def test_blanks_only(spark):
+    docs = spark.createDataFrame([(1, "", "x", 1, None), (1, None, "x", 1, None)], SCHEMA)
+    assert [(r.class_id, r.n_links, r.is_first) for r in jj.join_sets(docs).collect()] == [(1, 0, True)] * 2
+
+
+def test_bands():
+    bands, rows = jj.choose_bands(0.8, 0.9999)
+    assert 1 - (1 - 0.8 ** rows) ** bands >= 0.9999 and bands * rows <= jj.MAX_HASHES
+    assert 1 - (1 - 0.3 ** rows) ** bands < 0.1
+
+
+def test_minhash_estimates_similarity():
+    rng = np.random.default_rng(0)
+    pool = jj.mix(rng.integers(0, 1 << 62, 3000).astype(np.uint64))
+    a, b = pool[:2000], pool[500:2500]  # similarity 0.6
+    sig = jj.signatures(np.concatenate([a, b]), np.array([0, 2000]), 2000, 1)
+    assert abs((sig[0] == sig[1]).mean() - 0.6) < 0.04
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 300)] + [(500, i) for i in range(501, 560)] + [(700, 700), (9, 3)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(301)) and all(got[i] == 500 for i in range(500, 560)) and got[700] == 700

@@ -27,8 +27,8 @@ from colloquy.llm.common import ROW, carry
 from colloquy.llm.rolling import BASE, OTHER_BASE, mix, rolling, text_bytes, word_edges, word_hashes
 
 WINDOW = 50
-BATCH_BYTES = 8 << 20  # text of one batch; raise it with the corpus so that blocks stay large
-BUCKET_BYTES = 32 << 20  # text whose windows fill one bucket
+BATCH_BYTES = 4 << 20  # text of one batch; raise it with the corpus so that blocks stay large
+BUCKET_BYTES = 8 << 20  # text whose windows fill one bucket
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -148,7 +148,7 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] | Non
     text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     batches = max(1, -(-total // batch_bytes))
-    rows = carry(docs, keep, id=key.cast("long"), text=text,
+    rows = carry(docs, keep, id=key.cast("long"), text=text, tie=F.xxhash64(text),
                  batch=F.pmod(F.xxhash64(key, F.octet_length(text)), F.lit(batches)).cast("long"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "batch"), total
@@ -165,7 +165,8 @@ def remove_repeats(docs: DataFrame, *, width: int = WINDOW, id_col: str = "doc_i
     """
     rows, total = dealt(docs, id_col, text_col, keep, batch_bytes)
     buckets = max(1, -(-total // bucket_bytes))
-    entries = rows.select("batch", "id", "text").groupBy("batch").applyInArrow(
+    # Both passes read the same columns of the same shuffle, so the texts move once.
+    entries = rows.groupBy("batch").applyInArrow(
         _send(width, buckets), "bucket long, batch long, hashes binary, owners binary, runs binary")
     seen = entries.groupBy("bucket").applyInArrow(_count, "batch long, seen binary")
     row = rows.schema[ROW].dataType.simpleString()

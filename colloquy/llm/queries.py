@@ -15,6 +15,7 @@ from colloquy.llm.jaccard_join import join_sets
 from colloquy.llm.mixing import MIXED, mix_sources
 from colloquy.llm.packing import pack
 from colloquy.llm.privacy import KINDS, find_personal
+from colloquy.llm.suffix_dedup import remove_repeated_bytes
 from colloquy.llm.token_files import document_digests, write_token_files
 from colloquy.llm.window_dedup import remove_repeats
 from colloquy.session import materialise, scratch_path
@@ -48,6 +49,12 @@ def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeated_bytes(documents(spark, sf_dir), keep=["doc_id"])
+    return rows.select(f"{ROW}.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy_groups(documents(spark, sf_dir))
 
@@ -85,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_files": op2_token_files,
     "op3_window_dedup": op3_window_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_host_quality": op6_host_quality,
     "op7_personal_data": op7_personal_data,

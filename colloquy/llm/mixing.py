@@ -20,6 +20,7 @@ from colloquy.llm.common import ASCII_SPACE, ROW, WORD, WORD_BREAK, carry, count
 from colloquy.session import materialise
 
 ROWS_PER_BUCKET = 20_000
+ROUNDING = 1e-6  # a target that is whole but for rounding counts as whole
 KEY_HEX = 15  # hex digits of the key: 60 bits
 MIXED = ("size", "source_size", "target", "taken")
 
@@ -35,8 +36,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_epochs: int) ->
 
     Targets share the sum of all sizes by weight; a source stops at ``max_epochs`` times its
     size and what it leaves is shared again by weight. Sorted by the share at which a source
-    stops, the stopped sources come first, so running sums give the final level at once. One
-    row per source passes through one task.
+    stops, the stopped sources come first. If the first k were the stopped ones, the rest
+    would share at some level per weight; no guess of k exceeds the level of the true one, so
+    the largest level is the final one. One row per source passes through one task.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]),
@@ -51,7 +53,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_epochs: int) ->
               - F.coalesce(F.sum("cap").over(before), F.lit(0)))
              / F.sum("weight").over(onward))
     levels = ranked.withColumn("level", level)
-    final = F.min(F.when(F.col("stop") >= F.col("level"), F.col("level"))).over(Window.partitionBy())
+    final = F.max("level").over(Window.partitionBy())
     return (levels.withColumn("final", final)
             .select("source", "source_size",
                     F.least(F.col("cap").cast("double"), F.col("weight") * F.col("final"))
@@ -86,9 +88,10 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
               .rowsBetween(Window.unboundedPreceding, -1))
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     first = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
-    rest = budget - F.col("epochs") * F.col("source_size")
+    budget = F.floor(F.col("target") + ROUNDING)
+    placed = placed.withColumn("budget", budget)
+    epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0)
+    rest = F.col("budget") - F.col("epochs") * F.col("source_size")
     return (placed.withColumn("first", first).withColumn("epochs", epochs)
             .withColumn("part", F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("first"))))
             .withColumn("taken", (F.col("epochs") * F.col("size") + F.col("part")).cast("long"))

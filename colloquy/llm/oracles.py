@@ -26,16 +26,16 @@ l AS (
   FROM t),
 f AS (
   SELECT source, source_size,
-         least(cap::DOUBLE, weight * (min(level) FILTER (stop >= level) OVER ())) AS target
+         least(cap::DOUBLE, weight * max(level) OVER ()) AS target
   FROM l),
 p AS (
   SELECT k.doc_id, k.size, f.source_size, f.target,
-         CASE WHEN f.source_size > 0 THEN floor(f.target)::BIGINT // f.source_size ELSE 0 END AS epochs,
+         CASE WHEN f.source_size > 0 THEN floor(f.target + 1e-6)::BIGINT // f.source_size ELSE 0 END AS epochs,
          coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
   FROM k JOIN f ON k.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, size, source_size, target,
-       (epochs * size + least(size, greatest(0, floor(target)::BIGINT - epochs * source_size - first)))::BIGINT AS taken
+       (epochs * size + least(size, greatest(0, floor(target + 1e-6)::BIGINT - epochs * source_size - first)))::BIGINT AS taken
 FROM p""",
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

@@ -20,20 +20,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import small_batches
-from colloquy.llm.token_files import encode_documents, parquet_options, part_starts
+from colloquy.llm.token_files import encode_documents, part_starts
 from colloquy.llm.tokens import END_ID
 from colloquy.session import scratch_path
 
 SEQUENCE = 2_048
 
 
+def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of packed ids, and where each row's begin."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    values = np.frombuffer(raw, "<u4", offset=int(at[0])) if raw is not None and len(column) else np.zeros(0, "<u4")
+    return values, (at - at[0]) // 4 if len(column) else np.zeros(1, np.int64)
+
+
 def _cut(length: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("ids"))
-            values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<u4")
-            at = lists.offsets.to_numpy().astype(np.int64)
+            values, at = _packed(batch.column(batch.schema.get_field_index("ids")))
             sizes = at[1:] - at[:-1]
             begin = batch.column(batch.schema.get_field_index("begin")).to_numpy()
             first, last = begin // length, (begin + sizes - 1) // length
@@ -67,8 +74,8 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = SEQUENCE, end_id: int
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "packed")
-    encode_documents(docs, tokenizer, end_id, id_col=id_col, text_col=text_col).write.options(
-        **parquet_options()).parquet(path)
+    encode_documents(docs, tokenizer, end_id, id_col=id_col, text_col=text_col, packed=True).write.option(
+        "compression", "zstd").parquet(path)
     rows = spark.read.parquet(path)
     placed = rows.join(part_starts(rows.select("part", "n_tokens")), "part").select(
         "doc_id", (F.col("before") + F.col("local")).alias("begin"), "ids")

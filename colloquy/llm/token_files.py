@@ -31,12 +31,13 @@ def parquet_options(row_group: int = ROW_GROUP_BYTES, page: int = PAGE_BYTES) ->
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, *,
-                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                     id_col: str = "doc_id", text_col: str = "text", packed: bool = False) -> DataFrame:
     """(doc_id, part, local, n_tokens, ids) in the order in which tasks read ``docs``."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").alias("doc_id"))
-    return rows.mapInArrow(encode_batches(tokenizer, end_id), f"doc_id {kind}, {ENCODED}")
+    return rows.mapInArrow(encode_batches(tokenizer, end_id, packed),
+                           f"doc_id {kind}, {ENCODED}{'binary' if packed else 'array<int>'}")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, *,

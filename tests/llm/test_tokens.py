@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +14,7 @@ from tokenizers import Tokenizer
 
 from colloquy.llm import token_files as tf
 from colloquy.llm.packing import SEQUENCE, pack
-from colloquy.llm.tokens import ChunkEncoder
+from colloquy.llm.tokens import ChunkEncoder, piece_family
 
 FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
 TEXTS = [
@@ -28,13 +30,35 @@ def brute(path, texts):
     return [np.asarray([*whole.encode(t, add_special_tokens=False).ids, 1], "<u4") for t in texts]
 
 
+def encode(encoder, texts):
+    ids, offsets = encoder(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 @pytest.mark.parametrize("name", FILES)
-def test_chunks_equal_whole_texts(name):
+def test_equal_to_whole_texts(name):
     path = public_tokenizers.path(name)
-    encode = ChunkEncoder(path, cached=5)
+    encoder = ChunkEncoder(path, known=20)
+    want = [x[:-1].tolist() for x in brute(path, TEXTS)]
     for _ in range(2):
-        for text, want in zip(TEXTS, brute(path, TEXTS), strict=True):
-            assert encode([text])[0] == want[:-1].tobytes(), repr(text)
+        assert encode(encoder, TEXTS) == want
+        for text, ids in zip(TEXTS, want, strict=True):
+            assert encode(encoder, [text]) == [ids], repr(text)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_every_latin_character(name):
+    path = public_tokenizers.path(name)
+    texts = [f"{a}{chr(c)}{b}" for c in range(0x252)
+             for a, b in (("", ""), ("x ", "y"), ("1", "  z"), ("'", "'s"), (" ", "'ll"), ("'r", "e"))]
+    assert encode(ChunkEncoder(path), texts) == [x[:-1].tolist() for x in brute(path, texts)]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_documents(name, sf_dir):
+    path = public_tokenizers.path(name)
+    texts = pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist()
+    assert encode(ChunkEncoder(path), texts) == [x[:-1].tolist() for x in brute(path, texts)]
 
 
 @pytest.fixture(scope="module", params=FILES)
@@ -43,12 +67,15 @@ def both(request):
     return ChunkEncoder(path), Tokenizer.from_file(path)
 
 
-@settings(max_examples=150, deadline=None)
-@given(text=st.text(st.sampled_from("ab'sT1.,\n \t \u0085\x1cé́İ中|<>"), max_size=40))
-def test_any_text(both, text):
-    encode, whole = both
-    assert np.frombuffer(encode([text])[0], "<u4").tolist() == whole.encode(
-        text, add_special_tokens=False).ids
+@settings(max_examples=400, deadline=None)
+@given(texts=st.lists(st.text(st.sampled_from("ab'sTrelvm1²., \n \t \u0085\x1céÀĂİ中|<"), max_size=30), max_size=4))
+def test_any_text(both, texts):
+    encoder, whole = both
+    assert encode(encoder, texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_unknown_rules_use_the_whole_tokenizer():
+    assert piece_family({"pre_tokenizer": {"type": "Whitespace"}}) is None and piece_family({}) is None
 
 
 def rows():

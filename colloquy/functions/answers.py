@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from colloquy.functions.context import shortened
 from colloquy.functions.text import strip
 
 DEFAULT_SCORE = 3
@@ -36,8 +37,11 @@ def read_intent(raw: Column, intents: Sequence[str], default: str = "other") ->
     )
 
 
-def read_decision(raw: Column) -> tuple[Column, Column]:
-    """``(decision, reason)``: the JSON fields, or whether the text says "escalate"."""
+def read_decision(raw: Column, reason_chars: int | None = None) -> tuple[Column, Column]:
+    """``(decision, reason)``: the JSON fields, or whether the text says "escalate".
+
+    The reason is then the text itself, cut to ``reason_chars`` where that is given.
+    """
     value = _object(raw)
     stated = _field(value, "decision")
     text = F.coalesce(raw, F.lit(""))
@@ -45,7 +49,7 @@ def read_decision(raw: Column) -> tuple[Column, Column]:
     known = F.when(stated.isin("auto", "escalate"), stated).otherwise(F.lit("auto"))
     return (
         F.when(value.isNotNull(), known).otherwise(said),
-        F.when(value.isNotNull(), _field(value, "reason")).otherwise(F.substring(text, 1, 200)),
+        F.when(value.isNotNull(), _field(value, "reason")).otherwise(shortened(text, reason_chars)),
     )
 
 

@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 CONTEXT_TURNS = 4
-TURN_CHARS = 180
-TRIED_CHARS = 150
 TRIED_MIN_CHARS = 20
-EXAMPLE_CHARS = 200
 CUSTOMER_ROLE = "Customer"
 
 
@@ -26,27 +23,33 @@ def _from_brand(turn: Column) -> Column:
     return ~F.coalesce(turn["inbound"], F.lit(True))
 
 
-def _text(turn: Column, chars: int) -> Column:
-    return F.substring(F.coalesce(turn["text"], F.lit("")), 1, chars)
+def shortened(text: Column, chars: int | None) -> Column:
+    """The text, or its first ``chars`` characters; null is empty."""
+    whole = F.coalesce(text, F.lit(""))
+    return whole if chars is None else F.substring(whole, 1, chars)
 
 
-def context_block(turns: Column, brand_role: str, n: int = CONTEXT_TURNS) -> Column:
-    """The last ``n`` turns as ``  Role: text`` lines; empty without turns."""
+def context_block(turns: Column, brand_role: str, n: int | None = CONTEXT_TURNS,
+                  chars: int | None = None) -> Column:
+    """The last ``n`` turns (None: all) as ``  Role: text`` lines; empty without turns.
+
+    ``chars`` cuts each text to its first characters.
+    """
     lines = F.transform(
-        last_turns(turns, n),
+        turns if n is None else last_turns(turns, n),
         lambda t: F.concat(
             F.lit("  "),
             F.when(_from_brand(t), F.lit(brand_role)).otherwise(F.lit(CUSTOMER_ROLE)),
             F.lit(": "),
-            _text(t, TURN_CHARS),
+            shortened(t["text"], chars),
         ),
     )
     return F.coalesce(F.array_join(lines, "\n"), F.lit(""))
 
 
-def tried_steps(turns: Column) -> Column:
+def tried_steps(turns: Column, chars: int | None = None) -> Column:
     """What the brand already suggested, over all turns, as ``  - text`` lines."""
     told = F.filter(
         turns, lambda t: _from_brand(t) & (F.length(t["text"]) > TRIED_MIN_CHARS))
-    lines = F.transform(told, lambda t: F.concat(F.lit("  - "), _text(t, TRIED_CHARS)))
+    lines = F.transform(told, lambda t: F.concat(F.lit("  - "), shortened(t["text"], chars)))
     return F.coalesce(F.array_join(lines, "\n"), F.lit(""))

@@ -1,75 +1,115 @@
 """Batch calls of a text model from Spark tasks, with a response table.
 
-The model is any function from a list of prompts to a list of answers. Equal requests are
-sent once; answers are written down before anything reads them, so a retried task
-downstream does not call the model again.
+The model is any function from a list of prompts and a ``Call`` (system text, model name and
+settings) to a list of answers. Equal requests are sent once; answers are written down before
+anything reads them, so a retried task downstream does not call the model again. A prompt that
+fails for good becomes a row with its error: the answers to all other prompts are kept first.
 """
 
 from __future__ import annotations
 
-import re
+import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.schema import CACHE
-from colloquy.session import materialise
+from colloquy.session import materialise, path_exists
 
-Responder = Callable[[list[str]], list[str]]
-
-ATTEMPTS = 6
-QUOTA_WAIT = 65.0
 CALL_BATCH = 64
+ANSWERED = T.StructType([*CACHE.fields, T.StructField("error", T.StringType())])
+
+
+@dataclass(frozen=True)
+class Call:
+    """What goes to the model besides the prompt."""
+
+    system: str = ""
+    backend: str = "local"
+    model: str = "rules"
+    temperature: float | None = None
+    max_tokens: int | None = None
+
+    def key(self, prompt: Column) -> Column:
+        """The cache key; settings count only where they are set."""
+        options = {k: v for k, v in (("temperature", self.temperature), ("max_tokens", self.max_tokens))
+                   if v is not None}
+        return request_key(self.backend, self.model, self.system, prompt, options)
+
+
+Responder = Callable[[list[str], Call], list[str]]
+RetryAfter = Callable[[Exception, int], float | None]
+
 
+class ModelBusy(Exception):
+    """Raised by a model that can be asked again, after ``wait`` seconds if it says so."""
 
-def request_key(backend: str, model: str, system: str, prompt: Column) -> Column:
+    def __init__(self, message: str = "busy", wait: float | None = None) -> None:
+        super().__init__(message)
+        self.wait = wait
+
+
+def request_key(backend: str, model: str, system: str, prompt: Column,
+                options: dict | None = None) -> Column:
     """SHA-256 of the request as a compact JSON list."""
-    parts = F.array(F.lit(backend), F.lit(model), F.lit(system), prompt)
-    return F.sha2(F.to_json(parts), 256)
+    parts = [F.lit(backend), F.lit(model), F.lit(system), prompt]
+    if options:
+        parts.append(F.lit(json.dumps(options, sort_keys=True)))
+    return F.sha2(F.to_json(F.array(*parts)), 256)
 
 
-def wait_before_retry(error: Exception, attempt: int) -> float | None:
-    """Seconds to wait, or None when a retry makes no sense.
+@dataclass(frozen=True)
+class Backoff:
+    """Doubling waits for a busy model, up to ``times`` further tries; other errors are final."""
 
-    Overload backs off as 2^attempt; a spent quota waits as long as the message says.
-    """
-    message = str(error)
-    if "503" in message or "UNAVAILABLE" in message:
-        return float(2 ** attempt)
-    if "429" in message or "quota" in message.lower() or "rate" in message.lower():
-        hint = re.search(r"retry in ([\d.]+)s", message)
-        return float(hint.group(1)) + 2.0 if hint else QUOTA_WAIT
-    return None
-
-
-def with_retries(respond: Responder, prompts: list[str], attempts: int = ATTEMPTS,
-                 sleep: Callable[[float], None] = time.sleep) -> list[str]:
-    for attempt in range(attempts):
-        try:
-            return [a if a is not None else "" for a in respond(prompts)]
-        except Exception as error:
-            wait = wait_before_retry(error, attempt)
-            if wait is None or attempt == attempts - 1:
-                raise
-            sleep(wait)
-    return []
+    first: float = 1.0
+    times: int = 5
 
+    def __call__(self, error: Exception, tried: int) -> float | None:
+        if not isinstance(error, ModelBusy) or tried >= self.times:
+            return None
+        return error.wait if error.wait is not None else self.first * 2.0 ** tried
 
-def call_model(requests: DataFrame, respond: Responder, batch: int = CALL_BATCH) -> DataFrame:
-    """``(key, response)`` for ``(key, prompt)`` rows, in Arrow batches."""
+
+def ask(respond: Responder, prompts: list[str], call: Call, retry_after: RetryAfter = Backoff(),
+        sleep: Callable[[float], None] = time.sleep) -> list[tuple[str | None, str | None]]:
+    """``(answer, error)`` per prompt; a batch that fails for good is asked one by one."""
+    tried = 0
+    while True:
+        try:
+            answers = respond(prompts, call)
+            if len(answers) != len(prompts):
+                raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+            return [(a if a is not None else "", None) for a in answers]
+        except Exception as error:  # noqa: BLE001 - any failure of the caller's model
+            wait = retry_after(error, tried)
+            if wait is None:
+                failure = f"{type(error).__name__}: {error}"
+                break
+        tried += 1
+        sleep(wait)
+    if len(prompts) == 1:
+        return [(None, failure)]
+    return [one for p in prompts for one in ask(respond, [p], call, retry_after, sleep)]
+
+
+def call_model(requests: DataFrame, respond: Responder, call: Call = Call(), *,
+               batch: int = CALL_BATCH, retry_after: RetryAfter = Backoff()) -> DataFrame:
+    """``(key, response, error)`` for ``(key, prompt)`` rows, in Arrow batches."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at:at + batch]
-                answers = with_retries(respond, part["prompt"].tolist())
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "response": answers})
+                told = ask(respond, part["prompt"].tolist(), call, retry_after)
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "response": [a for a, _ in told],
+                                    "error": [e for _, e in told]}, dtype=object)
 
-    return requests.select("key", "prompt").mapInPandas(run, CACHE)
+    return requests.select("key", "prompt").mapInPandas(run, ANSWERED)
 
 
 @dataclass(frozen=True)
@@ -80,10 +120,9 @@ class ResponseTable:
     path: str
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(CACHE).parquet(self.path)
-        except AnalysisException:
+        if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], CACHE)
+        return self.spark.read.schema(CACHE).parquet(self.path)
 
     def append(self, answers: DataFrame) -> None:
         answers.select("key", "response").write.mode("append").parquet(self.path)
@@ -113,29 +152,39 @@ def answer(
     respond: Responder,
     *,
     out: str = "answer",
-    backend: str = "local",
-    model: str = "rules",
-    system: str = "",
+    call: Call = Call(),
     cache: ResponseTable | None = None,
     parallel_calls: int | None = None,
+    retry_after: RetryAfter = Backoff(),
+    keep_errors: bool = False,
 ) -> DataFrame:
     """Adds the model's answer to the prompt of each row.
 
-    ``parallel_calls`` bounds how many tasks call the model at a time.
+    ``parallel_calls`` bounds how many tasks call the model at a time. Prompts that failed
+    raise after all answers were stored, or with ``keep_errors`` get a null answer and their
+    error in ``<out>_error``. Only the stored answers to these requests are read back; where a
+    key was stored twice, the answer that sorts first counts.
     """
-    keyed = df.withColumn("_key", request_key(backend, model, system, F.col(prompt)))
-    requests = keyed.select(F.col("_key").alias("key"), F.col(prompt).alias("prompt"))
+    keyed = df.withColumn("_key", call.key(F.col(prompt)))
+    requests = materialise(keyed.select(F.col("_key").alias("key"), F.col(prompt).alias("prompt"))
+                           .dropDuplicates(["key"]), "requests")
+    stored = None
     if cache is not None:
-        _, misses = lookup(requests, cache.read())
-    else:
-        misses = requests.dropDuplicates(["key"])
+        stored = materialise(cache.read().join(requests.select("key"), "key", "left_semi")
+                             .groupBy("key").agg(F.min("response").alias("response")), "stored")
+    misses = requests if stored is None else requests.join(stored, "key", "left_anti")
     if parallel_calls:
         misses = misses.repartition(parallel_calls)
-    fresh = materialise(call_model(misses, respond), "answers")
-    if cache is None:
-        known = fresh
-    else:
-        cache.append(fresh)
-        known = cache.read().dropDuplicates(["key"])
-    known = known.select(F.col("key").alias("_key"), F.col("response").alias(out))
-    return keyed.join(known, "_key", "left").drop("_key")
+    fresh = materialise(call_model(misses, respond, call, retry_after=retry_after), "answers")
+    if cache is not None:
+        cache.append(fresh.where("error is null"))
+    if not keep_errors:
+        failed = fresh.where("error is not null").select("error").limit(1).collect()
+        if failed:
+            raise RuntimeError(f"the model failed on some prompts: {failed[0]['error']}")
+    known = fresh if stored is None else fresh.unionByName(
+        stored.withColumn("error", F.lit(None).cast("string")))
+    told = [F.col("key").alias("_key"), F.col("response").alias(out)]
+    if keep_errors:
+        told.append(F.col("error").alias(f"{out}_error"))
+    return keyed.join(known.select(*told), "_key", "left").drop("_key")

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from colloquy.session import materialise
 
-MIN_PAIRS = 10
-MIN_ABLATION_ROWS = 5
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -128,12 +126,8 @@ def escalation_metrics(df: DataFrame, truth: str = "true_escalate",
                           F.coalesce(F.col(pred) == "escalate", F.lit(False)), by)
 
 
-def kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = (),
-          min_pairs: int = MIN_PAIRS) -> DataFrame:
-    """``(*by, n, kappa)``: Cohen's kappa, unweighted.
-
-    Groups below ``min_pairs`` are left out; null where chance agreement is 1.
-    """
+def kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, n, kappa)``: Cohen's kappa, unweighted; null where chance agreement is 1."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     marginals = class_counts(confusion(pairs, a, b, by), by)
     sums = marginals.groupBy(*by).agg(
@@ -141,21 +135,16 @@ def kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = (),
         F.sum(F.col("support").cast("double") * F.col("predicted")).alias("chance"))
     n = F.col("n").cast("double")
     observed, expected = F.col("tp") / n, F.col("chance") / (n * n)
-    return sums.where(F.col("n") >= min_pairs).select(
+    return sums.select(
         *by, "n", F.try_divide(observed - expected, 1.0 - expected).alias("kappa"))
 
 
-def pearson(df: DataFrame, a: str, b: str, by: Sequence[str] = (),
-            min_pairs: int = MIN_PAIRS) -> DataFrame:
-    """``(*by, n, pearson_r)``; groups below ``min_pairs`` are left out.
-
-    Null where a rater is constant.
-    """
+def pearson(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, n, pearson_r)``; null where a rater is constant."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), r.alias("pearson_r")).where(
-        F.col("n") >= min_pairs)
+    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), r.alias("pearson_r"))
 
 
 def rater_offset(df: DataFrame, rater: str, human: str, by: Sequence[str] = ()) -> DataFrame:
@@ -168,6 +157,36 @@ def rater_offset(df: DataFrame, rater: str, human: str, by: Sequence[str] = ())
     )
 
 
+def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row ``(n, kappa, pearson_r, within_one, mean_offset)`` of two ratings.
+
+    Pairs are counted once per combination of ratings; all figures follow from the counts.
+    """
+    pairs = materialise(df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+                        .groupBy(F.col(a).alias("a"), F.col(b).alias("b"))
+                        .agg(F.count(F.lit(1)).alias("w")), "ratings")
+    sides = pairs.select(F.inline(F.array(
+        F.struct(F.col("a").alias("v"), F.col("w").alias("wa"), F.lit(0).cast("long").alias("wb")),
+        F.struct(F.col("b").alias("v"), F.lit(0).cast("long").alias("wa"), F.col("w").alias("wb")))))
+    chance = sides.groupBy("v").agg(F.sum("wa").alias("wa"), F.sum("wb").alias("wb")).agg(
+        F.sum(F.col("wa").cast("double") * F.col("wb")).alias("chance"))
+    w, x, y = F.col("w").cast("double"), F.col("a").cast("double"), F.col("b").cast("double")
+    sums = pairs.agg(
+        F.coalesce(F.sum("w"), F.lit(0)).alias("n"), F.sum(F.when(x == y, w).otherwise(0.0)).alias("same"),
+        F.sum(F.when(F.abs(x - y) <= 1, w).otherwise(0.0)).alias("near"), F.sum(w * x).alias("x"),
+        F.sum(w * y).alias("y"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"),
+        F.sum(w * x * y).alias("xy"))
+    n = F.col("n").cast("double")
+    observed, expected = F.try_divide(F.col("same"), n), F.try_divide(F.col("chance"), n * n)
+    spread = F.sqrt(F.greatest(n * F.col("xx") - F.col("x") * F.col("x"), F.lit(0.0))
+                    * F.greatest(n * F.col("yy") - F.col("y") * F.col("y"), F.lit(0.0)))
+    return sums.crossJoin(chance).select(  # one row each
+        "n", F.try_divide(observed - expected, 1.0 - expected).alias("kappa"),
+        F.try_divide(n * F.col("xy") - F.col("x") * F.col("y"), spread).alias("pearson_r"),
+        F.try_divide(F.col("near"), n).alias("within_one"),
+        F.try_divide(F.col("x") - F.col("y"), n).alias("mean_offset"))
+
+
 def rate_by(df: DataFrame, group: str, flag: Column) -> DataFrame:
     """``(group, n, rate)``: the share of rows with the flag set."""
     return df.groupBy(group).agg(
@@ -208,25 +227,29 @@ def pool_sizes(df: DataFrame, has_context: Column) -> DataFrame:
 
 
 def compare_context(df: DataFrame, truth: str, with_context: str, without: str) -> DataFrame:
-    """One row of accuracy and macro-F1 for two predictions of the same rows.
-
-    Empty when there are fewer than 5 rows.
-    """
-    modes = df.select(
+    """One row of accuracy and macro-F1 for two predictions of the same rows."""
+    return compare_modes(df.select(
         F.col(truth).alias("truth"),
         F.inline(F.array(
             F.struct(F.lit("with").alias("mode"), F.col(with_context).alias("pred")),
-            F.struct(F.lit("without").alias("mode"), F.col(without).alias("pred")))))
+            F.struct(F.lit("without").alias("mode"), F.col(without).alias("pred"))))))
+
+
+def compare_modes(modes: DataFrame) -> DataFrame:
+    """The same from ``(truth, mode, pred)`` rows, the modes being "with" and "without".
+
+    ``n_with_context`` tells how many rows the figures rest on; without any they are null.
+    """
     scores = intent_metrics(modes, "truth", "pred", ["mode"])
 
     def pick(mode: str, c: str) -> Column:
         return F.max(F.when(F.col("mode") == mode, F.col(c)))
 
     wide = scores.agg(
-        pick("with", "n").alias("n_with_context"),
+        F.coalesce(pick("with", "n"), F.lit(0)).alias("n_with_context"),
         *[pick(m, c).alias(f"{c}_{name}") for c in ("accuracy", "macro_f1")
           for m, name in (("with", "with_context"), ("without", "no_context"))])
-    return wide.where(F.col("n_with_context") >= MIN_ABLATION_ROWS).select(
+    return wide.select(
         "n_with_context",
         *[e for c in ("accuracy", "macro_f1") for e in (
             F.round(f"{c}_with_context", 4).alias(f"{c}_with_context"),

@@ -46,16 +46,24 @@ def shuffled(df: DataFrame, seed: int, id_col: str) -> DataFrame:
 def sample_strata(df: DataFrame, stratum: str, n: int, seed: int, id_col: str) -> DataFrame:
     """``min(n, size)`` rows of each non-null stratum.
 
-    The row limit is applied inside each map task before the shuffle, so a stratum that
-    holds most of the table sends at most ``n`` rows per task.
+    Rows are counted per stratum and leading hash digits. Buckets before the one in which a
+    stratum's sample ends are taken whole, and only that bucket is ranked row by row, so a
+    stratum of any size and a sample of any size spread over many tasks.
     """
-    w = Window.partitionBy(stratum).orderBy(hash_key(seed, id_col), F.col(id_col))
-    return (
-        df.where(F.col(stratum).isNotNull())
-        .withColumn("_rank", F.row_number().over(w))
-        .where(F.col("_rank") <= n)
-        .drop("_rank")
-    )
+    rows = df.where(F.col(stratum).isNotNull()).withColumn("_key", hash_key(seed, id_col))
+    rows = rows.withColumn("_bucket", F.substring("_key", 1, BUCKET_HEX))
+    upto = Window.partitionBy(stratum).orderBy("_bucket")
+    edge = materialise(
+        rows.groupBy(stratum, "_bucket").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.sum("n").over(upto) - F.col("n")).where(F.col("before") < n)
+        .groupBy(stratum).agg(F.max(F.struct("_bucket", "before")).alias("e"))
+        .select(stratum, F.col("e._bucket").alias("_edge"), (n - F.col("e.before")).alias("_take")),
+        "strata-edges")
+    tagged = rows.join(edge, stratum)
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("_key", id_col))
+    ranked = tagged.where("_bucket = _edge").withColumn("_place", place).where("_place <= _take")
+    sure = tagged.where("_bucket < _edge")
+    return sure.unionByName(ranked.drop("_place")).drop("_key", "_bucket", "_edge", "_take")
 
 
 def golden_sample(
@@ -97,11 +105,11 @@ def split_quotas(counts: DataFrame, label: str, test_share: float) -> DataFrame:
     """
     total = counts.agg(F.sum("n").alias("total")).withColumn(
         "test", F.ceil(F.round(F.col("total") * test_share, 9)).cast("long"))
-    # Whole-number arithmetic: exact = n * test / total, kept as quotient and remainder.
-    scaled = counts.join(F.broadcast(total)).select(
-        label, "test",
-        F.floor(F.col("n") * F.col("test") / F.col("total")).cast("long").alias("base"),
-        (F.col("n") * F.col("test") % F.col("total")).alias("rest"),
+    # Whole numbers of 38 digits: exact = n * test / total, kept as quotient and remainder.
+    exact = F.col("n").cast("decimal(19,0)") * F.col("test").cast("decimal(19,0)")
+    scaled = counts.join(F.broadcast(total)).withColumn("exact", exact.cast("decimal(38,0)")).select(
+        label, "test", F.expr("exact div cast(total AS decimal(38,0))").cast("long").alias("base"),
+        F.expr("exact % cast(total AS decimal(38,0))").alias("rest"),
     )
     given = scaled.agg(F.sum("base").alias("given"))
     order = Window.orderBy(F.col("rest").desc(), F.col(label))

@@ -27,7 +27,9 @@ def id_order(tweet_id: str = "tweet_id") -> list[Column]:
 
 
 def default_order() -> list[Column]:
-    return [created_ts(F.col("created_at")), *id_order()]
+    """By time, then by number; tweets without a readable time come last."""
+    at = created_ts(F.col("created_at"))
+    return [at.isNull(), at, *id_order()]
 
 
 def unique_tweets(tweets: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:

@@ -32,8 +32,10 @@ def rolling_buffer(turns: DataFrame, conv: str, order: str, *columns: str,
         conv, "_chunk", F.flatten(F.collect_list("_end").over(back)).alias("_carried"))
     seen = F.concat("_carried", "_own")
     start = F.greatest(F.size(seen) - (size - 1), F.lit(1))
+    carried = carried.select(F.col(conv).alias("_of"), F.col("_chunk").alias("_at"), "_carried")
+    own = F.col(conv).eqNullSafe(F.col("_of")) & F.col("_chunk").eqNullSafe(F.col("_at"))
     return (
-        local.join(carried, [conv, "_chunk"])
+        local.join(carried, own)
         .withColumn("buffer", F.slice(seen, start, F.lit(size))["turn"])
-        .drop("_chunk", "_own", "_carried")
+        .drop("_chunk", "_own", "_carried", "_of", "_at")
     )

@@ -25,7 +25,8 @@ from colloquy.operators import threads as th
 from colloquy.operators.classifier import train_and_report, train_classifier
 from colloquy.operators.embedding import HashedTfidf
 from colloquy.operators.grounding import grounding_scores
-from colloquy.operators.inference import answer, cache_stats, lookup, request_key
+from colloquy.operators.inference import (Call, ResponseTable, answer, cache_stats, lookup,
+                                          request_key)
 from colloquy.operators.predictors import constant_predictor, simple_predictor
 from colloquy.operators.sparse_neighbours import nearest_text
 from colloquy.operators.turns import rolling_buffer
@@ -200,7 +201,7 @@ def live_labels(spark, sf_dir):
         "pathGlobFilter", "conversations.parquet").parquet(sf_dir)
     out, marks = scratch_path(spark, "live"), scratch_path(spark, "live-marks")
     rules = {label: (word,) for word, label in PROMPT_RULES}
-    labelled = label_messages(turns, "text", rules).select(
+    labelled = label_messages(turns, "text", rules, FLAG_WORDS).select(
         "conv_id", "turn", "redacted", "intent", "decision")
     (labelled.writeStream.format("parquet").option("path", out)
      .option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination())
@@ -307,7 +308,7 @@ def intent_metrics(spark, sf_dir):
 
 
 def error_listing(spark, sf_dir):
-    rows = mt.error_listing(_docs(spark, sf_dir), "lang", "pred", "doc_id", "source")
+    rows = mt.error_listing(_docs(spark, sf_dir), "lang", "pred", "doc_id", "text")
     return rows.select("truth", "pred", "n",
                        F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"),
                        F.array_join("texts", ",").alias("texts"))
@@ -315,8 +316,7 @@ def error_listing(spark, sf_dir):
 
 def _flagged(spark, sf_dir):
     decision, _ = rl.escalation_by_keyword(tx.clean(F.col("text")), FLAG_WORDS)
-    docs = spread(documents(spark, sf_dir)).select(
-        "doc_id", "lang", decision.alias("pred_decision"))
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "pred", decision.alias("pred_decision"))
     truth = labels(spark, sf_dir).select(
         "doc_id", F.when(F.col("toxic") == 1, "yes").otherwise("no").alias("true_escalate"))
     return docs.join(truth, "doc_id", "left")
@@ -355,8 +355,7 @@ def rater_offset(spark, sf_dir):
 
 def _systems(spark, sf_dir):
     """A constant and a rule-based system over the same rows, in prediction layout."""
-    rows = _flagged(spark, sf_dir).join(
-        _docs(spark, sf_dir).select("doc_id", "pred"), "doc_id")
+    rows = _flagged(spark, sf_dir)
     top = lb.majority(documents(spark, sf_dir), "lang").select(F.col("lang").alias("top"))
     base = rows.crossJoin(F.broadcast(top)).select(  # one row
         "true_escalate", F.col("lang").alias("true_intent"),
@@ -393,8 +392,7 @@ def tfidf_stats(spark, sf_dir):
 def tfidf_vectors(spark, sf_dir):
     counts, vocab = _vocabulary(spark, sf_dir)
     vocab = materialise(vocab, "vocabulary")
-    rows = tfidf.weights(counts, vocab, "doc_id").join(
-        F.broadcast(vocab.select("term_id", "term")), "term_id")  # 30,000 rows at most
+    rows = tfidf.weights(counts, vocab, "doc_id").join(vocab.select("term_id", "term"), "term_id")
     return rows.select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
@@ -444,7 +442,7 @@ def embed_search(spark, sf_dir):
 
 # ---- inference ----
 
-def stand_in_model(prompts: list[str]) -> list[str]:
+def stand_in_model(prompts: list[str], call: Call) -> list[str]:
     """A deterministic model: names an intent by substring, and scores by length."""
     out = []
     for prompt in prompts:
@@ -467,7 +465,7 @@ def prompt_build(spark, sf_dir):
 def _raw_answers(spark, sf_dir, field: str, good: str, bad: str) -> DataFrame:
     """Model answers of many shapes, valid and not, chosen by turn and text length."""
     kind = (F.col("conv_id") + F.col("turn") + F.length("text")) % 7
-    head = F.substring(F.regexp_replace("text", r'["\\\n]', " "), 1, 40)
+    head = F.regexp_replace("text", r'["\\\n]', " ")
     say = F.concat(F.lit(f'{{"{field}": '), F.when(kind == 0, F.lit(good)).otherwise(F.lit(bad)),
                    F.lit(', "confidence": "high", "reason": "'), head, F.lit('"}'))
     raw = (F.when(kind <= 1, say)
@@ -580,8 +578,8 @@ def _messages(spark, sf_dir) -> DataFrame:
 def trivial_predict(spark, sf_dir):
     rows = _messages(spark, sf_dir)
     split = sp.stratified_split(rows.select("thread_id", "intent"), "intent", "thread_id", SEED)
-    top = lb.majority(split.where("split = 'train'"), "intent").first()["intent"]
-    return constant_predictor(top)(rows).drop("customer_text")
+    top = lb.majority(split.where("split = 'train'"), "intent").first()
+    return constant_predictor(top["intent"] if top else None)(rows).drop("customer_text")
 
 
 def simple_predict(spark, sf_dir):

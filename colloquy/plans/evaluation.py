@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,15 +13,13 @@ from colloquy.functions.context import has_context
 from colloquy.functions.rules import labelled
 from colloquy.functions.text import rating
 from colloquy.operators import metrics as mt
-from colloquy.operators.inference import Responder, ResponseTable, answer
+from colloquy.operators.inference import Call, Responder, ResponseTable, answer
 from colloquy.operators.predictors import Predictor, choose
 from colloquy.operators.sampling import first_rows, sample_rows
 from colloquy.plans.agent import classify
 from colloquy.plans.prompts import Templates, render
 
-# Fixed values.
-JUDGED_ROWS = 50
-CALIBRATED_ROWS = 50
+# Fixed value.
 JUDGE_SEED = 42
 
 
@@ -46,11 +45,12 @@ def run_system(name: str, predictors: Mapping[str, Predictor], rows: DataFrame)
 
 
 def judge(df: DataFrame, respond: Responder, reply: str, *, out: str = "judge_score",
-          templates: Templates = Templates(), cache: ResponseTable | None = None) -> DataFrame:
+          templates: Templates = Templates(), cache: ResponseTable | None = None,
+          call: Call = Call()) -> DataFrame:
     """Adds the judge's score of each reply."""
     prompt = render(templates.judge, text=F.col("customer_text"), reply=F.col(reply))
     told = answer(df.withColumn("_prompt", prompt), "_prompt", respond, out="_raw",
-                  system=templates.judge_system, cache=cache)
+                  call=replace(call, system=templates.judge_system), cache=cache)
     return told.withColumn(out, read_score(F.col("_raw"))[0]).drop("_prompt", "_raw")
 
 
@@ -65,19 +65,20 @@ def score_systems(preds: DataFrame) -> DataFrame:
     return intent.join(escalation, "system", "left")
 
 
-def judge_mean(preds: DataFrame, respond: Responder, n: int = JUDGED_ROWS,
+def judge_mean(preds: DataFrame, respond: Responder, n: int | None = None,
                seed: int = JUDGE_SEED, **options: object) -> DataFrame:
-    """One row: ``judge_mean_score`` over a fixed-size sample of one system's replies."""
-    rows = judge(sample_rows(preds, n, seed, "thread_id"), respond, "pred_reply", **options)
+    """One row: ``judge_mean_score`` over one system's replies, or over a sample of ``n``."""
+    chosen = preds if n is None else sample_rows(preds, n, seed, "thread_id")
+    rows = judge(chosen, respond, "pred_reply", **options)
     return rows.agg(F.avg("judge_score").alias("judge_mean_score"))
 
 
-def judge_calibration(rated: DataFrame, respond: Responder, n: int | None = CALIBRATED_ROWS,
+def judge_calibration(rated: DataFrame, respond: Responder, n: int | None = None,
                       **options: object) -> DataFrame:
-    """One row: agreement of judge and human on the same replies; empty below 10 pairs.
+    """One row: agreement of judge and human on the same replies, null where undefined.
 
-    The first ``n`` rated rows by id count, or all of them without ``n``. The historical
-    reply is judged if the column is there, else the predicted one.
+    All rated rows count, or the first ``n`` by id. The historical reply is judged if the
+    column is there, else the predicted one. One aggregation gives all figures.
     """
     quality = F.col("reply_quality").cast("string")
     rows = rated.where(labelled(quality))
@@ -85,13 +86,9 @@ def judge_calibration(rated: DataFrame, respond: Responder, n: int | None = CALI
         rows = first_rows(rows, n, "thread_id")
     rows = rows.withColumn("human", rating(F.col("reply_quality"))).where("human is not null")
     reply = "brand_reply" if "brand_reply" in rated.columns else "pred_reply"
-    pairs = judge(rows, respond, reply, **options)
-    agreed = mt.kappa(pairs, "judge_score", "human").select(
-        F.col("n").alias("judge_calibration_n"), F.col("kappa").alias("judge_human_kappa"))
-    linear = mt.pearson(pairs, "judge_score", "human").select(
-        F.col("pearson_r").alias("judge_human_pearson_r"))
-    offset = mt.rater_offset(pairs, "judge_score", "human").select("within_one", "mean_offset")
-    return agreed.crossJoin(linear).crossJoin(offset)  # one row each
+    return mt.agreement(judge(rows, respond, reply, **options), "judge_score", "human").select(
+        F.col("n").alias("judge_calibration_n"), F.col("kappa").alias("judge_human_kappa"),
+        F.col("pearson_r").alias("judge_human_pearson_r"), "within_one", "mean_offset")
 
 
 def summary(scores: DataFrame) -> DataFrame:
@@ -119,10 +116,7 @@ def context_ablation(golden: DataFrame, threads: DataFrame, respond: Responder,
                         F.explode(F.array(F.lit("with"), F.lit("without"))).alias("mode"))
     modes = modes.withColumn("prior_context", F.when(F.col("mode") == "with",
                                                      F.col("prior_context")).otherwise(none))
-    wide = classify(modes, respond, **options).groupBy("thread_id", "truth").agg(
-        F.max(F.when(F.col("mode") == "with", F.col("intent"))).alias("with_pred"),
-        F.max(F.when(F.col("mode") == "without", F.col("intent"))).alias("without_pred"))
+    told = classify(modes, respond, **options).select("truth", "mode", F.col("intent").alias("pred"))
     left_out = rows.agg(F.count_if(~has_context(F.col("prior_context")))
                         .alias("n_without_context"))
-    return mt.compare_context(wide, "truth", "with_pred", "without_pred").crossJoin(
-        left_out)  # one row each
+    return mt.compare_modes(told).crossJoin(left_out)  # one row each

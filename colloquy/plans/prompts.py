@@ -8,6 +8,8 @@ from string import Formatter
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from colloquy.functions.context import CONTEXT_TURNS
+
 
 def render(template: str, **fields: Column) -> Column:
     """The template with each ``{name}`` replaced by a column; null counts as empty."""
@@ -30,6 +32,12 @@ class Templates:
     """Wording of the prompts; replace any of it to suit the model."""
 
     brand_role: str = "Support"
+    # What goes into a prompt: None takes all turns, or whole texts.
+    context_turns: int | None = CONTEXT_TURNS
+    turn_chars: int | None = None
+    tried_chars: int | None = None
+    example_chars: int | None = None
+    reason_chars: int | None = None
     classify_system: str = "Name the intent of a support message. Answer in JSON."
     classify: str = "{context}Message:\n{text}"
     draft_system: str = "Write a support reply in the manner of the examples."

@@ -43,9 +43,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/colloquy/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/colloquy/{name}-{uuid.uuid4().hex}"
+    """A new path below the checkpoint folder, in a folder of this application."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -61,6 +65,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system it names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application, once its results are written."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Evens out a table that is scanned in fewer tasks than the cluster has cores.
 

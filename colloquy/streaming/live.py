@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from colloquy.functions.rules import INTENT_PATTERNS, escalation_by_keyword, first_match
+from colloquy.functions.rules import (ESCALATION_WORDS, INTENT_PATTERNS, escalation_by_keyword,
+                                      first_match)
 from colloquy.functions.text import redact_handles
 from colloquy.operators.turns import BUFFER_TURNS
 
@@ -17,9 +18,10 @@ _TURN = "struct<role string, text string>"
 
 
 def label_messages(messages: DataFrame, text: str = "text",
-                   rules: Mapping[str, Sequence[str]] = INTENT_PATTERNS) -> DataFrame:
+                   rules: Mapping[str, Sequence[str]] = INTENT_PATTERNS,
+                   words: Sequence[str] = ESCALATION_WORDS) -> DataFrame:
     """Adds the redacted text, keyword intent, decision and reason; keeps no state."""
-    decision, reason = escalation_by_keyword(F.col(text))
+    decision, reason = escalation_by_keyword(F.lower(text), words)
     return messages.withColumns({
         "redacted": redact_handles(F.col(text)),
         "intent": F.coalesce(first_match(F.col(text), rules), F.lit("other")),

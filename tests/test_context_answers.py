@@ -25,13 +25,16 @@ def test_last_four_turns_and_roles(spark):
     turns = [("a", f"t{i}", i % 2 == 0) for i in range(5)]
     assert blocks(spark, turns)[0] == "  Shop: t1\n  Customer: t2\n  Shop: t3\n  Customer: t4"
     assert blocks(spark, turns[:1])[0] == "  Customer: t0"
-    assert blocks(spark, [("a", "x" * 181, None)])[0] == "  Customer: " + "x" * 180
+    assert blocks(spark, [("a", "x" * 181, None)])[0] == "  Customer: " + "x" * 181
+    row = spark.createDataFrame([(1, [("a", "x" * 9, None)] * 5)], CTX).select(
+        cx.context_block(F.col("c"), "Shop", None, 3), cx.context_block(F.col("c"), "Shop", 2)).first()
+    assert row[0].count("xxx") == 5 and "xxxx" not in row[0] and row[1].count("x" * 9) == 2
 
 
 def test_tried_steps_look_at_all_turns(spark):
     turns = [("b", "y" * 21, False), ("b", "z" * 20, False), ("a", "w" * 30, True)]
     turns += [("a", "q", True)] * 5 + [("b", "v" * 200, False)]
-    assert blocks(spark, turns)[1] == "  - " + "y" * 21 + "\n  - " + "v" * 150
+    assert blocks(spark, turns)[1] == "  - " + "y" * 21 + "\n  - " + "v" * 200
 
 
 def parse(spark, raws, f):
@@ -53,7 +56,7 @@ def test_read_decision(spark):
     long = "please Escalate " + "x" * 300
     raws = ['{"decision": "escalate", "reason": "r"}', '{"decision": "later"}', long, "", None]
     assert parse(spark, raws, an.read_decision) == [
-        ("escalate", "r"), ("auto", None), ("escalate", long[:200]), ("auto", ""), ("auto", "")]
+        ("escalate", "r"), ("auto", None), ("escalate", long), ("auto", ""), ("auto", "")]
 
 
 def test_read_score(spark):
@@ -74,3 +77,10 @@ def test_rolling_buffer_does_not_depend_on_chunks(spark):
     for chunk in (1, 4, 10, 1000):
         got = rolling_buffer(df.repartition(5), "conv", "turn", "text", chunk=chunk).collect()
         assert {(r.conv, r.turn): [b.text for b in r.buffer] for r in got} == want
+
+
+def test_rolling_buffer_keeps_rows_with_null_keys(spark):
+    rows = [(1, 0, "a"), (1, None, "b"), (None, 0, "c")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, text string")
+    got = {r["text"]: len(r["buffer"]) for r in rolling_buffer(df, "conv_id", "turn", "text").collect()}
+    assert set(got) == {"a", "b", "c"} and got["c"] == 0

@@ -16,16 +16,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CTX = "array<struct<author string, text string, inbound boolean>>"
 
 
-def shout(prompts):
+def shout(prompts, call):
     return [p.upper() for p in prompts]
 
 
 def test_equal_requests_are_sent_once(spark):
     calls = spark.sparkContext.accumulator(0)
 
-    def counted(prompts):
+    def counted(prompts, call):
         calls.add(len(prompts))
-        return shout(prompts)
+        return shout(prompts, call)
 
     df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "i int, p string")
     got = inf.answer(df, "p", counted, parallel_calls=2).collect()
@@ -40,14 +40,14 @@ def test_cached_answers_are_not_asked_again(spark, tmp_path):
     inf.answer(df.where("i = 1"), "p", shout, cache=cache).count()
     calls = spark.sparkContext.accumulator(0)
 
-    def counted(prompts):
+    def counted(prompts, call):
         calls.add(len(prompts))
         return ["é"] * len(prompts)
 
     got = {r["i"]: r["answer"] for r in inf.answer(df, "p", counted, cache=cache).collect()}
     assert got == {1: "X", 2: "X", 3: "é"} and calls.value == 1
     assert cache.stats().first()["entries"] == 2
-    other = inf.answer(df, "p", counted, cache=cache, model="other").first()
+    other = inf.answer(df, "p", counted, cache=cache, call=inf.Call(model="other")).first()
     assert other["answer"] == "é"
 
 
@@ -63,26 +63,54 @@ def test_cache_size(spark):
     assert inf.cache_stats(df).first().asDict() == {"entries": 2, "size_kb": 1.2}
 
 
-def test_retries():
-    waits, errors = [], ["503 busy", "UNAVAILABLE", "429, retry in 1.5s", "quota spent"]
+def test_busy_models_are_asked_again():
+    waits, errors = [], [inf.ModelBusy(), inf.ModelBusy(wait=1.5), inf.ModelBusy()]
 
-    def flaky(prompts):
+    def flaky(prompts, call):
         if errors:
-            raise RuntimeError(errors.pop(0))
+            raise errors.pop(0)
         return [None]
 
-    assert inf.with_retries(flaky, ["p"], sleep=waits.append) == [""]
-    assert waits == [1.0, 2.0, 3.5, 65.0]
-    with pytest.raises(RuntimeError):
-        inf.with_retries(lambda p: (_ for _ in ()).throw(RuntimeError("bad")), ["p"])
+    assert inf.ask(flaky, ["p"], inf.Call(), sleep=waits.append) == [("", None)]
+    assert waits == [1.0, 1.5, 4.0]
+    waits.clear()
 
-    def busy(prompts):
-        raise RuntimeError("503")
+    def busy(prompts, call):
+        raise inf.ModelBusy
 
-    waits.clear()
-    with pytest.raises(RuntimeError):
-        inf.with_retries(busy, ["p"], sleep=waits.append)
-    assert waits == [1.0, 2.0, 4.0, 8.0, 16.0]
+    assert inf.ask(busy, ["p"], inf.Call(), inf.Backoff(0.5, 2), waits.append)[0][0] is None
+    assert waits == [0.5, 1.0]
+    own = inf.ask(busy, ["p"], inf.Call(), lambda error, tried: 7.0 if tried < 1 else None, waits.append)
+    assert own[0][1].startswith("ModelBusy") and waits[2:] == [7.0]
+
+
+def broken(prompts, call):
+    if "bad" in prompts:
+        raise RuntimeError("could not generate an answer")
+    return [p.upper() for p in prompts]
+
+
+def test_one_failing_prompt_costs_no_other_answer(spark, tmp_path):
+    df = spark.createDataFrame([("a",), ("bad",), ("b",)], "p string")
+    cache = inf.ResponseTable(spark, str(tmp_path / "cache"))
+    with pytest.raises(RuntimeError, match="could not generate"):
+        inf.answer(df, "p", broken, cache=cache)
+    assert sorted(r.response for r in cache.read().collect()) == ["A", "B"]
+    got = {r.p: (r.answer, r.answer_error) for r in inf.answer(
+        df, "p", broken, cache=cache, keep_errors=True).collect()}
+    assert got["a"] == ("A", None) and got["bad"] == (None, "RuntimeError: could not generate an answer")
+
+
+def test_the_model_gets_its_call(spark, tmp_path):
+    def tell(prompts, call):
+        return [f"{call.system}/{call.model}/{call.temperature}" for _ in prompts]
+
+    df = spark.createDataFrame([("p",)], "p string")
+    cache = inf.ResponseTable(spark, str(tmp_path / "cache"))
+    calls = [inf.Call("s"), inf.Call("t"), inf.Call("s", model="m"), inf.Call("s", temperature=0.5)]
+    got = [inf.answer(df, "p", tell, cache=cache, call=c).first()["answer"] for c in calls]
+    assert got == ["s/rules/None", "t/rules/None", "s/m/None", "s/rules/0.5"]
+    assert cache.stats().first()["entries"] == 4
 
 
 def test_render(spark):
@@ -92,7 +120,7 @@ def test_render(spark):
     assert tuple(row) == ("a 1 b", "<z>", "")
 
 
-def model(prompts):
+def model(prompts, call):
     out = []
     for p in prompts:
         intent = "hardware_device" if "broken" in p else "other"
@@ -125,7 +153,7 @@ def test_agent(spark, threads):
 
 
 def test_prompts_carry_examples_and_tried_steps(spark, threads):
-    seen = run_agent(threads, threads, lambda ps: list(ps), k=1, exclude_self=True).collect()
+    seen = run_agent(threads, threads, lambda ps, call: list(ps), k=1, exclude_self=True).collect()
     reply = {r["thread_id"]: r["reply"] for r in seen}["2"]
     t = Templates()
     assert "Case 1:\n  Customer: screen broken\n  Support: we fix it" in reply
@@ -155,6 +183,6 @@ def test_judge_calibration(spark):
     assert got["judge_calibration_n"] == 12 and got["judge_human_kappa"] == 0.0
     assert ev.judge_calibration(rated, model, n=11).first()["judge_calibration_n"] == 11
     assert ev.judge_calibration(rated, model, n=None).first()["judge_calibration_n"] == 12
-    assert ev.judge_calibration(rated.limit(5), model).count() == 0
+    assert ev.judge_calibration(rated.limit(0), model).first()["judge_calibration_n"] == 0
     preds = rated.withColumn("pred_reply", F.lit("r"))
     assert ev.judge_mean(preds, model).first()[0] == 4.0

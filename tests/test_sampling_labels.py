@@ -99,6 +99,16 @@ def test_small_scans_are_spread(spark):
     assert spread(spark.range(0, 10, 1, cores + 3)).rdd.getNumPartitions() == cores + 3
 
 
-def test_map_side_limit_is_in_the_plan(rows):
-    plan = sp.sample_strata(rows, "label", 22, 1, "id")._jdf.queryExecution().executedPlan()
-    assert "WindowGroupLimit" in plan.toString()
+def test_quotas_of_very_large_classes(spark):
+    counts = spark.createDataFrame([("a", 7_000_000_000), ("b", 1_000_000_000)], "label string, n long")
+    got = {r["label"]: r["quota"] for r in sp.split_quotas(counts, "label", 0.2).collect()}
+    assert got == {"a": 1_400_000_000, "b": 200_000_000}
+
+
+def test_strata_above_the_group_limit(spark):
+    import hashlib
+    rows = [(i, "x" if i % 5 else None) for i in range(4000)] + [(5000, "y")]
+    df = spark.createDataFrame(rows, "id long, s string")
+    got = {r["id"] for r in sp.sample_strata(df, "s", 1500, 3, "id").collect()}
+    key = sorted((hashlib.md5(f"3|{i}".encode()).hexdigest(), i) for i, s in rows if s == "x")
+    assert got == {i for _, i in key[:1500]} | {5000}

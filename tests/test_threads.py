@@ -112,3 +112,12 @@ def test_duplicate_ids(spark):
     one = th.unique_tweets(df)
     assert one.count() == 2
     assert th.build_threads(one, B).first().brand_reply == "first"
+
+
+def test_a_dated_reply_beats_one_without_a_readable_date(spark):
+    rows = [tweet(1, "u", "help"), tweet(2, B, "undated", up=1), tweet(3, B, "odd", up=1, at="yesterday"),
+            tweet(10, B, "late", up=1, at="Wed Oct 11 06:55:45 +0000 2017"),
+            tweet(11, B, "tied", up=1, at="Wed Oct 11 06:55:44 +0000 2017"),
+            tweet(9, B, "first", up=1, at="Wed Oct 11 06:55:44 +0000 2017")]
+    assert build(spark, rows)["1"].brand_reply == "first"
+    assert build(spark, rows[:3])["1"].brand_reply == "undated"

@@ -5,8 +5,7 @@ set. A text that occurs twice finds all its bits among them; a row that misses o
 and passes straight through. Only the other rows are shuffled and compared by SHA-256, so a
 false hit costs a shuffled row, never a wrong answer.
 
-The filter is cut into blocks of one bitmap each and a row's bits lie in one block, so the test
-is one look-up. Its size follows the row count up to ``max_filter_mb``, which bounds what is
+The filter's size follows the row count up to ``max_filter_mb``, which bounds what is
 broadcast; beyond that more rows shuffle and results stay the same.
 
 Null texts equal empty ones. Of equal texts the row with the largest id stays, null ids lowest;
@@ -15,57 +14,21 @@ of repeated rows with that id one stays. An empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.bloom import MAX_FILTER_MB, build_filter, filter_blocks, apply_filter
 from colloquy.llm.common import ROW, carry
 from colloquy.session import materialise
 
-BITS_PER_BLOCK = 32_768  # what one bitmap of bitmap_construct_agg holds
-BITS_PER_ROW = 16
-PROBES = 3
-MAX_FILTER_MB = 64
-
-
-def _block(h: Column, blocks: int) -> Column:
-    return F.pmod(F.shiftright(h, 15), F.lit(blocks)).cast("long")
-
-
-def _bits(h: Column) -> list[Column]:
-    """``PROBES`` positions inside a block, from independent hashes of the hash."""
-    return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(BITS_PER_BLOCK)).cast("int") for i in range(PROBES)]
-
-
-def _is_set(bitmap: Column, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    shifted = F.call_function("shiftright", byte, bit.bitwiseAND(F.lit(7)))
-    return shifted.bitwiseAND(F.lit(1)) == 1
-
-
-def repeated_bits(hashes: DataFrame, blocks: int) -> DataFrame:
-    """(block, bitmap) of the bits that two rows or more have set."""
-    bit = F.explode(F.array(*_bits(F.col("h"))))
-    counted = (hashes.select(_block(F.col("h"), blocks).alias("block"), bit.alias("bit"))
-               .groupBy("block", "bit").count().where("count > 1"))
-    return counted.groupBy("block").agg(
-        F.call_function("bitmap_construct_agg", F.col("bit").cast("long")).alias("bitmap"))
-
-
 def flag_repeats(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
                  max_filter_mb: int = MAX_FILTER_MB) -> DataFrame:
     """Rows with ``text`` (null as empty) and ``maybe``: false only where no other row is equal."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    most = max_filter_mb * (1 << 23) // BITS_PER_BLOCK
-    blocks = min(most, max(1, -(-docs.count() * BITS_PER_ROW // BITS_PER_BLOCK)))
-    filters = materialise(repeated_bits(docs.select(F.xxhash64(text).alias("h")), blocks),
-                          "bloom")
+    blocks = filter_blocks(docs.count(), max_filter_mb)
+    filters = build_filter(docs.select(F.xxhash64(text).alias("h")), blocks, times=2)
     rows = carry(docs, keep, text=text, h=F.xxhash64(text))
-    tested = rows.withColumn("block", _block(F.col("h"), blocks)).join(
-        F.broadcast(filters), "block", "left")  # at most max_filter_mb
-    hit = F.lit(True)
-    for bit in _bits(F.col("h")):
-        hit = hit & _is_set(F.col("bitmap"), bit)
-    return tested.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("block", "bitmap", "h")
+    return apply_filter(rows, "h", filters, blocks, "maybe").drop("h")
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -94,8 +57,8 @@ def copy_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")
     same = rows.where("maybe").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
-    groups = same.groupBy("text_sha256").agg(
-        F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    groups = materialise(same.groupBy("text_sha256").agg(
+        F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "copy-groups")
     members = same.join(groups, "text_sha256")
     copies = members.select(
         "doc_id", "keep_id", "group_size", "text_sha256",

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.bloom import build_filter, filter_blocks, apply_filter
 from colloquy.llm.common import ROW, carry, small_batches
 from colloquy.llm.components import components
 from colloquy.llm.rolling import BASE, mix, rolling, text_bytes, word_edges, word_hashes
@@ -221,6 +222,11 @@ def join_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     meeting = members.select("set_id").distinct()
     firsts = materialise(classes.join(meeting, "set_id").select("first.doc_id", "first.text_hash"), "meeting")
+    # A filter of the wanted rows keeps the other texts out of the shuffle.
+    pair = F.xxhash64("doc_id", "text_hash")
+    blocks = filter_blocks(firsts.count())
+    wanted = build_filter(firsts.select(pair.alias("h")), blocks)
+    rows = apply_filter(rows.withColumn("h", pair), "h", wanted, blocks, "maybe").where("maybe").drop("h", "maybe")
     fetched = rows.join(firsts.distinct(), (rows["doc_id"].eqNullSafe(firsts["doc_id"]))
                         & (rows["text_hash"] == firsts["text_hash"]), "left_semi")
     grams = fetched.select("text").mapInArrow(_sign(n, bands, rows_per_band, True), "set_id binary, grams binary")
@@ -229,12 +235,12 @@ def join_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     chunks = F.ceil(F.col("g") / chunk)
     own = F.pmod(F.xxhash64("set_id", F.lit(2)), chunks)
-    blocks = members.withColumn("chunk", own).withColumn(
+    placed = members.withColumn("chunk", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).select(
         F.struct("band", "key", F.least("chunk", "other").alias("i"),
                  F.greatest("chunk", "other").alias("j")).alias("block"), "chunk", "set_id")
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = blocks.join(full, "set_id").repartition(shuffles, "block").sortWithinPartitions("block")
+    ready = placed.join(full, "set_id").repartition(shuffles, "block").sortWithinPartitions("block")
     found = materialise(ready.mapInArrow(_blocks(threshold), "set_id binary, links long, root binary"), "links")
 
     links = found.groupBy("set_id").agg(F.sum("links").alias("links"))

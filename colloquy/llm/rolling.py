@@ -7,7 +7,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
 OTHER_BASE = 0xD1342543DE82EF95
-BLOCK = 4 << 20  # bytes hashed at a time
+BLOCK = 512 << 10  # bytes hashed at a time
 
 _powers: dict[int, np.ndarray] = {}
 

@@ -19,6 +19,7 @@ from colloquy.session import materialise
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
+ENCODED_ROWS = 300  # texts encoded at a time
 LAYOUT = "doc_id long, part int, local long, n_tokens long, ids array<int>"
 
 
@@ -33,7 +34,7 @@ def parquet_options(row_group: int = ROW_GROUP_BYTES, page: int = PAGE_BYTES) ->
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, *,
                      id_col: str = "doc_id", text_col: str = "text", packed: bool = False) -> DataFrame:
     """(doc_id, part, local, n_tokens, ids) in the order in which tasks read ``docs``."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, ENCODED_ROWS)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").alias("doc_id"))
     return rows.mapInArrow(encode_batches(tokenizer, end_id, packed),

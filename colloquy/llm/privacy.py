@@ -149,10 +149,14 @@ def disclosing_terms(mentions: DataFrame, texts: DataFrame, text_col: str, n_tex
     the corpus, in one pass that shuffles nothing but their own rows.
     """
     met = mentions.select("entity", "term", "text_id").distinct()
-    pairs = materialise(met.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-                        .where(F.col("n_et") >= min_texts), "near-pairs")
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_texts)
     entities = mentions.select("entity", "text_id").distinct().groupBy("entity").agg(
         F.count("*").alias("n_e"))
+    near = mentions.select("term", "text_id").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    # A term is in n_near texts at least; where that is too many already, it cannot reveal enough.
+    most = F.col("n_et") * F.pow(n_texts / F.col("n_e"), F.lit(1 - share)) * (1 + 1e-9)
+    pairs = materialise(pairs.join(entities, "entity").join(near, "term")
+                        .where(F.col("n_near") <= most).drop("n_near"), "near-pairs")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     wanted = materialise(pairs.select("term").distinct(), "near-terms")
     held = texts.select(F.xxhash64(text).alias("text_id"),
@@ -161,7 +165,7 @@ def disclosing_terms(mentions: DataFrame, texts: DataFrame, text_col: str, n_tex
     n = F.lit(float(n_texts))
     revealed = F.log(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     whole = F.log(n / F.col("n_e"))
-    return (pairs.join(entities, "entity").join(spread, "term")
+    return (pairs.join(spread, "term")
             .where((whole > 0) & (revealed >= share * whole))
             .select("entity", "term", F.when(revealed >= whole - 1e-9, "removed")
                     .otherwise("generalised").alias("kind")))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.llm.common import ROW, carry, small_batches
+from colloquy.llm.exact_dedup import flag_repeats
 from colloquy.session import materialise
 
 # The forms of personal data.
@@ -37,7 +38,7 @@ BREAKS = frozenset(" \t\n\x0b\x0c\r.,;:!?()\"'[]")
 KINDS = ("email", "ip", "card", "phone")
 
 CONTEXT = 200  # code points on either side of an entity
-MIN_TEXTS = 3  # different texts in which a term must stand near an entity
+MIN_TEXTS = 1  # different texts in which a term must stand near an entity: all of them count
 SHARE = 0.75
 
 Span = tuple[int, int]
@@ -141,31 +142,38 @@ def _scan(context: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+def term_counts(texts: DataFrame, text_col: str) -> DataFrame:
+    """(term, n_t): in how many different texts each term stands.
+
+    Terms are counted inside the map tasks; only texts that may have copies are shuffled first.
+    """
+    rows = flag_repeats(texts, text_col, []).select("text", "maybe")
+    once = rows.where(~F.col("maybe")).select("text").unionByName(
+        rows.where("maybe").groupBy(F.xxhash64("text").alias("text_id"))
+        .agg(F.first("text").alias("text")).select("text"))
+    return (once.select(F.explode(F.array_distinct(F.split("text", TERM_BREAK))).alias("term"))
+            .groupBy("term").agg(F.count("*").alias("n_t")))
+
+
 def disclosing_terms(mentions: DataFrame, texts: DataFrame, text_col: str, n_texts: int, *,
                      min_texts: int, share: float) -> DataFrame:
     """(entity, term, kind) of the terms that reveal too much.
 
-    ``mentions`` has (entity, term, text_id). Only terms with enough support are counted over
-    the corpus, in one pass that shuffles nothing but their own rows.
+    ``mentions`` has (entity, term, text_id). Every pair that meets in ``min_texts`` different
+    texts is scored.
     """
     met = mentions.select("entity", "term", "text_id").distinct()
-    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_texts)
-    entities = mentions.select("entity", "text_id").distinct().groupBy("entity").agg(
-        F.count("*").alias("n_e"))
-    near = mentions.select("term", "text_id").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    # A term is in n_near texts at least; where that is too many already, it cannot reveal enough.
-    most = F.col("n_et") * F.pow(n_texts / F.col("n_e"), F.lit(1 - share)) * (1 + 1e-9)
-    pairs = materialise(pairs.join(entities, "entity").join(near, "term")
-                        .where(F.col("n_near") <= most).drop("n_near"), "near-pairs")
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    wanted = materialise(pairs.select("term").distinct(), "near-terms")
-    held = texts.select(F.xxhash64(text).alias("text_id"),
-                        F.explode(F.array_distinct(F.split(text, TERM_BREAK))).alias("term"))
-    spread = (held.join(wanted, "term").distinct().groupBy("term").agg(F.count("*").alias("n_t")))
+    pairs = materialise(met.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+                        .where(F.col("n_et") >= min_texts), "near-pairs")
+    # Both sides of each join are read from files, so that a hot entity or term can be split.
+    entities = materialise(mentions.select("entity", "text_id").distinct().groupBy("entity").agg(
+        F.count("*").alias("n_e")), "entities")
+    spread = materialise(term_counts(texts, text_col).join(
+        pairs.select("term").distinct(), "term", "left_semi"), "near-terms")
     n = F.lit(float(n_texts))
     revealed = F.log(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     whole = F.log(n / F.col("n_e"))
-    return (pairs.join(spread, "term")
+    return (pairs.join(entities, "entity").join(spread, "term")
             .where((whole > 0) & (revealed >= share * whole))
             .select("entity", "term", F.when(revealed >= whole - 1e-9, "removed")
                     .otherwise("generalised").alias("kind")))

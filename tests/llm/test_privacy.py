@@ -107,6 +107,16 @@ def test_disclosing_terms(spark, context):
     assert any("removed" in w[2] for w in want)
 
 
+def test_rare_entities(spark):
+    """An entity in one text, with copies of other texts, is judged like any other."""
+    rows = [(i, f"all the w{i % 7} words", "", "", 1) for i in range(40)]
+    rows += [(50, "all the Zorro jane@mail.example.com rides", "", "", 1)]
+    found = pv.find_personal(spark.createDataFrame(rows, SCHEMA))
+    got = {r.doc_id: (r.n_terms, r.spans) for r in found.select(f"{ROW}.doc_id", "n_terms", "spans").collect()}
+    assert got[50] == (2, "email:14:35,removed:8:13,removed:36:41")
+    assert {d: s for d, (_, s) in got.items()} == {d: s for d, _, s in expected(rows, 200, 1, pv.SHARE)}
+
+
 def test_redacted(spark):
     rows = spark.createDataFrame([("me a@b.c Zorro w", "email:3:8,removed:9:14,generalised:15:16")], "t string, s string")
     assert rows.select(pv.redacted(F.col("t"), F.col("s"))).first()[0] == "me [email]  [generalised]"

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -40,6 +42,7 @@ KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 200  # code points on either side of an entity
 MIN_TEXTS = 1  # different texts in which a term must stand near an entity: all of them count
 SHARE = 0.75
+MENTIONS = 50_000  # mentions that the scan of texts holds at a time
 
 Span = tuple[int, int]
 
@@ -114,31 +117,55 @@ def near_terms(text: str, span: Span, context: int) -> Iterator[Span]:
                 yield m.span()
 
 
-def _scan(context: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def near_mentions(text: str, found: dict[str, list[Span]], context: int) -> Iterator[tuple[str, str, int, int]]:
+    """(entity, term, start, end) of the terms near each entity that lie outside all of ``found``."""
+    taken = sorted(s for v in found.values() for s in v)
+    starts = [a for a, _ in taken]
+    furthest = list(accumulate((b for _, b in taken), max))
+    for kind, spans in found.items():
+        for span in spans:
+            name = entity(kind, text[slice(*span)])
+            for a, b in near_terms(text, span, context):
+                before = bisect_left(starts, b)
+                if not before or furthest[before - 1] <= a:
+                    yield name, text[a:b], a, b
+
+
+def _scan(context: int, at_once: int = MENTIONS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row per text, and more rows with mentions only (``base`` null) for a text with many."""
+    def packed(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        index, counts, bases, mentions = zip(*rows, strict=True)
+        whole = pa.array([i if b is not None else None for i, b in zip(index, bases, strict=True)], pa.int64())
+        named = {name: batch.column(name).take(whole if name == ROW else pa.array(index, pa.int64()))
+                 for name in batch.schema.names[1:]}
+        flat = list(zip(*(m for of in mentions for m in of), strict=True)) or [[]] * 4
+        listed = pa.ListArray.from_arrays(
+            pa.array([0, *accumulate(map(len, mentions))], pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(c, t) for c, t in zip(flat, (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)],
+                names=["entity", "term", "start", "end"]))
+        hashes = [b if b is None else hashlib.sha256(b.encode()).hexdigest() for b in bases]
+        return pa.RecordBatch.from_arrays(
+            [*named.values(), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))),
+             pa.array(bases, pa.string()), pa.array(hashes, pa.string()), listed],
+            names=[*named, *(f"n_{k}" for k in KINDS), "base", "base_sha256", "mentions"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mention = pa.struct([("entity", pa.string()), ("term", pa.string()),
-                             ("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
-            bases, mentions, counts = [], [], []
-            for text in batch.column(0).to_pylist():
-                text = text or ""
+            rows, held = [], 0
+            for i, text in enumerate(batch.column(0)):
+                text = text.as_py() or ""
                 found = base_spans(text)
-                counts.append([len(v) for v in found.values()])
-                bases.append(",".join(f"{k}:{a}:{b}" for k, v in found.items() for a, b in v))
-                taken = [s for v in found.values() for s in v]
-                mentions.append([
-                    {"entity": name, "term": text[a:b], "start": a, "end": b}
-                    for kind, spans in found.items() for span in spans
-                    for name in [entity(kind, text[slice(*span)])]
-                    for a, b in near_terms(text, span, context)
-                    if not any(a < y and x < b for x, y in taken)])
-            columns = [batch.column(i) for i in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, *(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))),
-                 pa.array(bases, pa.string()),
-                 pa.array([hashlib.sha256(b.encode()).hexdigest() for b in bases], pa.string()),
-                 pa.array(mentions, pa.list_(mention))],
-                names=[*batch.schema.names[1:], *(f"n_{k}" for k in KINDS), "base", "base_sha256", "mentions"])
+                base = ",".join(f"{k}:{a}:{b}" for k, v in found.items() for a, b in v)
+                counts = [len(v) for v in found.values()]
+                near = near_mentions(text, found, context)
+                while (part := list(islice(near, at_once - held))) or base is not None:
+                    rows.append((i, counts, base, part))
+                    base, held = None, held + len(part)
+                    if held == at_once:
+                        yield packed(batch, rows)
+                        rows, held = [], 0
+            if rows:
+                yield packed(batch, rows)
     return run
 
 
@@ -188,14 +215,16 @@ def find_personal(docs: DataFrame, *, text_col: str = "text", keep: Sequence[str
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = carry(docs, keep, text=text, text_id=F.xxhash64(text)).select("text", ROW, "text_id")
+    rows = carry(docs, keep, text=text, text_id=F.xxhash64(text)).select(
+        "text", ROW, "text_id", F.monotonically_increasing_id().alias("uid"))
     kind = rows.schema[ROW].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     scanned = rows.mapInArrow(_scan(context), (
-        f"{ROW} {kind}, text_id long, {counts}, base string, base_sha256 string, "
+        f"{ROW} {kind}, text_id long, uid long, {counts}, base string, base_sha256 string, "
         "mentions array<struct<entity: string, term: string, start: int, end: int>>"))
-    base = materialise(scanned.withColumn("uid", F.monotonically_increasing_id()), "personal")
-    mentions = base.where(F.size("mentions") > 0).select("uid", "text_id", F.inline("mentions"))
+    parts = materialise(scanned, "personal")
+    base = parts.where("base is not null")
+    mentions = parts.where(F.size("mentions") > 0).select("uid", "text_id", F.inline("mentions"))
     n_texts = base.select("text_id").distinct().count()
     telling = materialise(disclosing_terms(mentions, docs, text_col, n_texts, min_texts=min_texts,
                                            share=share), "telling-terms")

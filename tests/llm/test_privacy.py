@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,6 +119,23 @@ def test_rare_entities(spark):
     assert {d: s for d, (_, s) in got.items()} == {d: s for d, _, s in expected(rows, 200, 1, pv.SHARE)}
 
 
+def test_list_of_addresses():
+    """A long list is scanned in time that grows with its length, in batches of bounded size."""
+    text = " ".join(f"w{i} a{i}@mail.example.com" for i in range(20_000))
+    batch = pa.RecordBatch.from_pydict({"text": ["", text, "x a@b.c"], ROW: [{"d": i} for i in range(3)],
+                                        "text_id": [0, 1, 2], "uid": [4, 5, 6]})
+    begin = time.process_time()
+    out = list(pv._scan(60, at_once=1_000)(iter([batch])))
+    assert time.process_time() - begin < 20
+    assert max(sum(map(len, b["mentions"].to_pylist())) for b in out) <= 1_000
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r[ROW], r["uid"], r["n_email"]) for r in rows if r["base"] is not None] == [
+        ({"d": 0}, 4, 0), ({"d": 1}, 5, 20_000), ({"d": 2}, 6, 1)]
+    got = [(r["uid"], m["entity"], m["term"]) for r in rows for m in r["mentions"]]
+    assert len(got) == len(set(got)) and (6, "email:a@b.c", "x") in got
+    assert all((5, f"email:a{i}@mail.example.com", f"w{j}") in got for i in (1, 19_998) for j in (i, i + 1))
+
+
 def test_redacted(spark):
     rows = spark.createDataFrame([("me a@b.c Zorro w", "email:3:8,removed:9:14,generalised:15:16")], "t string, s string")
     assert rows.select(pv.redacted(F.col("t"), F.col("s"))).first()[0] == "me [email]  [generalised]"

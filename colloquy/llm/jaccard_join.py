@@ -41,12 +41,15 @@ SLAB = 16_384  # n-grams in one matrix product
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
-    """The most selective (bands, rows) that find a pair at the threshold with this recall."""
-    best = (1, 1)
+    """The most selective (bands, rows) that find a pair at the threshold with this recall.
+
+    Where ``max_hashes`` do not reach it, bands of one row, as many as it takes.
+    """
+    best = None
     for rows in range(1, max_hashes + 1):
         hit = threshold ** rows
         bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-hit))
-        if bands * rows <= max_hashes:
+        if best is None or bands * rows <= max_hashes:
             best = (bands, rows)
     return best
 

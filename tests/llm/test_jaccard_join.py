@@ -79,6 +79,12 @@ def test_blanks_only(spark):
     assert [(r.class_id, r.n_links, r.is_first) for r in jj.join_sets(docs).collect()] == [(1, 0, True)] * 2
 
 
+@pytest.mark.parametrize("threshold,recall", [(0.05, 0.9999), (0.01, 0.99), (0.3, 0.9999), (0.8, 0.9999), (1.0, 0.5)])
+def test_bands_reach_the_recall(threshold, recall):
+    bands, rows = jj.choose_bands(threshold, recall)
+    assert 1 - (1 - threshold ** rows) ** bands >= recall
+
+
 def test_bands():
     bands, rows = jj.choose_bands(0.8, 0.9999)
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.9999 and bands * rows <= jj.MAX_HASHES

@@ -52,9 +52,6 @@ LANGUAGE_RULES = {
 HANDOFF = ("tion ", r"que\s+le", "ung ")
 FLAG_WORDS = ("the", "tion", "que", "license", "token")
 ONE_TO_FIVE = 5
-# The prose has few telling words; a small vocabulary keeps the regression well conditioned.
-CLASSIFIER_FEATURES = 2_000
-CLASSIFIER_ITERATIONS = 100
 # Substrings of a prompt and the intent the stand-in model gives for each.
 PROMPT_RULES = (("que ", "fr"), ("und ", "de"), ("los ", "es"))
 
@@ -584,15 +581,11 @@ def trivial_predict(spark, sf_dir):
 
 def simple_predict(spark, sf_dir):
     rows = spread(_messages(spark, sf_dir))
-    classifier = train_classifier(rows, max_iter=CLASSIFIER_ITERATIONS,
-                                  max_features=CLASSIFIER_FEATURES)
-    return simple_predictor(classifier, rows, exclude_self=True)(rows).drop("customer_text")
+    return simple_predictor(train_classifier(rows), rows, exclude_self=True)(rows).drop("customer_text")
 
 
 def train_report(spark, sf_dir):
-    _, _, report = train_and_report(
-        spread(_messages(spark, sf_dir)), seed=SEED, max_iter=CLASSIFIER_ITERATIONS,
-        max_features=CLASSIFIER_FEATURES)
+    _, _, report = train_and_report(spread(_messages(spark, sf_dir)), seed=SEED)
     return _rounded(report, "precision", "recall", "f1")
 
 

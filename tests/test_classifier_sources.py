@@ -2,10 +2,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.operators import classifier as cl
 from colloquy.operators.classifier import TextClassifier, train_and_report, train_classifier
 from colloquy.operators.predictors import (CANNED_REPLY, LAYOUT, constant_predictor,
                                            predict_batch, simple_predictor)
 from colloquy.operators.tfidf import fit_tfidf, terms
+from colloquy.plans import catalog
 from colloquy.plans import evaluation as ev
 from colloquy.plans.golden import golden_set
 from colloquy.schema import GOLDEN, INTENTS, THREADS, TWEETS, intents_table
@@ -64,6 +66,28 @@ def test_vocabulary_limit_and_idf(spark):
     assert model.idf == pytest.approx([1.0, np.log(1.5) + 1, np.log(1.5) + 1])
 
 
+@pytest.mark.parametrize("query", ["simple_predict", "train_report"])
+def test_queries_fit_on_all_terms(spark, sf_dir, monkeypatch, query):
+    """The queries fit on the whole vocabulary of the fitting rows, with the operator's iterations."""
+    terms_of, iterations = [], []
+    fit, regression = cl.fit_tfidf, cl.LogisticRegression
+
+    def seen(rows, id_col, max_features=None):
+        terms_of.append((max_features, rows.select(F.explode("terms")).distinct().count()))
+        model = fit(rows, id_col, max_features)
+        assert len(model.terms) == terms_of[-1][1]
+        return model
+
+    def stopped(**options):
+        iterations.append(options["maxIter"])
+        return regression(**options | {"maxIter": 1})
+
+    monkeypatch.setattr(cl, "fit_tfidf", seen)
+    monkeypatch.setattr(cl, "LogisticRegression", stopped)
+    catalog.QUERIES[query](spark, sf_dir)
+    assert terms_of[0][0] is None and iterations == [cl.MAX_ITER]
+
+
 def test_train_save_load_predict(labelled, tmp_path):
     classifier, split, report = train_and_report(labelled)
     sizes = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import chat
+from colloquy.llm.best_fit import cut_pieces, place_pieces
 from colloquy.llm.common import ROW
 from colloquy.llm.exact_dedup import copy_groups
 from colloquy.llm.host_quality import METRICS, host_quality
@@ -88,6 +89,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_sets(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "is_first")
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = cut_pieces(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    rows = place_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "doc_tokens")
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_files": op2_token_files,
@@ -99,4 +106,5 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_best_fit": op11_best_fit,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import chat
+from colloquy.llm.alignment import align
 from colloquy.llm.best_fit import cut_pieces, place_pieces
 from colloquy.llm.common import ROW
 from colloquy.llm.exact_dedup import copy_groups
@@ -95,6 +96,14 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "doc_tokens")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = align(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    rows = met.documents.withColumn("groups_sha256", digest).drop("groups")
+    return met.scores(rows).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                                   "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_files": op2_token_files,
@@ -107,4 +116,5 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_best_fit": op11_best_fit,
+    "op13_alignment": op13_alignment,
 }

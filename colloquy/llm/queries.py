@@ -16,6 +16,7 @@ from colloquy.llm.host_quality import METRICS, host_quality
 from colloquy.llm.jaccard_join import join_sets
 from colloquy.llm.mixing import MIXED, mix_sources
 from colloquy.llm.packing import pack
+from colloquy.llm.prefix_trie import prefix_trie, shared_heads
 from colloquy.llm.privacy import KINDS, find_personal
 from colloquy.llm.suffix_dedup import remove_repeated_bytes
 from colloquy.llm.token_files import document_digests, write_token_files
@@ -96,6 +97,10 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "doc_tokens")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), rebuild=shared_heads)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = align(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
@@ -116,5 +121,6 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_best_fit": op11_best_fit,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_alignment": op13_alignment,
 }

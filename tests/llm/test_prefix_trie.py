@@ -1,0 +1,114 @@
+"""The trie of conversation prefixes against a dictionary of all prefixes."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+
+from colloquy.llm.prefix_trie import TernaryTree, medians_first, plain_slices, prefix_trie, shared_heads
+from colloquy.llm.queries import op12_prefix_trie
+
+SCHEMA = "conv_id long, turn long, role string, text string, code int, at string, codes string, key int"
+
+
+def plain(rows, rebuilt):
+    """Every prefix of every conversation in one dictionary."""
+    turns = defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            turns[c].append((t is not None, t or 0, role or "", text or ""))
+    convs = {c: [x[2:] for x in sorted(v)] for c, v in turns.items()}
+    if rebuilt:
+        whole = dict(convs)
+        for c, own in whole.items():
+            h = zlib.crc32(str(c).encode()) % 6
+            convs[c] = whole.get(c - c % 100, [])[:h] + own[h:]
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, seq in convs.items():
+        for d in range(len(seq) + 1):
+            members[tuple(seq[:d])].append(c)
+        ends[tuple(seq)].append(c)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        leaves[node] = sum(leaves[x] for x in children[node]) if children[node] else 1
+        own = (len(members[node]) - 1) * len(node[-1][1]) if node else 0
+        saved[node] = own + sum(saved[x] for x in children[node])
+    return sorted(
+        (min(m), len(node), min(members[node[:-1]]) if node else -1, len(m), len(children[node]), leaves[node],
+         saved[node], hashlib.sha256(",".join(map(str, sorted(ends[node]))).encode()).hexdigest())
+        for node, m in members.items())
+
+
+def found(df):
+    return sorted((r.conv_id, r.depth, -1 if r.parent_conv_id is None else r.parent_conv_id, r.n_convs, r.n_children,
+                   r.n_leaves, r.saved_tokens, r.ends_sha256) for r in df.collect())
+
+
+def conversations(seed):
+    """Few texts, so that many conversations share heads; copies, nulls, ties and repeated rows."""
+    rnd = random.Random(seed)
+    rows = []
+    for c in rnd.sample(range(700), 60):
+        for t in range(rnd.choice([1, 2, 3, 4, 9, 14])):
+            rows.append((c, t, rnd.choice(["user", "assistant", None]), rnd.choice(["a", "bb", "ccc", "", None, "é😀"])))
+    rows += [(c, t, "system", f"copy {t}") for c in range(1000, 1040) for t in range(3)]
+    rows += [(5000, t, "user", "on and on") for t in range(30)] + [(5001, t, "user", "on and on") for t in range(24)]
+    rows += [(100, None, "user", "first"), (100, 1, "user", "tie"), (100, 1, "user", "tie"), (None, 1, "user", "x")]
+    rnd.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("block,shard", [(1024, 200_000), (1024, 9), (3, 200_000), (6, 20)])
+@pytest.mark.parametrize("rebuilt", [False, True])
+def test_trie(spark, block, shard, rebuilt):
+    rows = conversations(block + shard)
+    df = spark.createDataFrame([(*r, 1, "a", "c", 2) for r in rows], SCHEMA).repartition(4)
+    got = prefix_trie(df, rebuild=shared_heads if rebuilt else plain_slices, block=block, shard_codes=shard)
+    assert found(got) == plain(rows, rebuilt)
+
+
+def test_long_lists_are_hashed_in_pieces(spark, monkeypatch):
+    import colloquy.llm.prefix_trie as pt
+    monkeypatch.setattr(pt, "LIST_IDS", 4)
+    rows = [(c, t, "user", "same") for c in range(37) for t in range(2)] + [(99, 0, "user", "same")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    assert found(prefix_trie(df)) == plain(rows, False)
+
+
+def test_one_long_conversation_and_text(spark):
+    rows = [(7, t, "user", f"t{t % 5}") for t in range(5_000)] + [(8, 0, "user", "x" * 1_000_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = found(prefix_trie(df, block=512))
+    assert len(got) == 5_002 and got == sorted(plain(rows, False))
+
+
+def test_query(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        "conv_id", "turn", "role", "text").collect()]
+    assert found(op12_prefix_trie(spark, sf_dir)) == plain(rows, True)
+
+
+def test_tree_is_balanced():
+    tree = TernaryTree()
+    for i in medians_first(1023):
+        tree.insert([i])
+    assert sorted(tree.code) == list(range(-1, 1023))
+
+    def height(node):
+        best, todo = 0, [(node, 1)]
+        while todo:
+            x, d = todo.pop()
+            best = max(best, d)
+            todo += [(y, d + 1) for y in (tree.low[x], tree.high[x]) if y >= 0]
+        return best
+    assert height(tree.down[0]) == 10
+
+
+def test_empty_table(spark):
+    assert prefix_trie(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -45,10 +45,11 @@ from colloquy.session import materialise
 BATCH_DOCUMENTS = 1_000
 RADIXES = 16
 FAN_IN = 64  # runs merged at a time
-KNOWN_UNITS = 500_000  # in a worker's table; it starts anew when it is full
-KNOWN_LINKS = 8_000_000
+KNOWN_UNITS = 250_000  # in a worker's table; it starts anew when it is full
+KNOWN_LINKS = 4_000_000
+JOINED_UNITS = 256  # new words encoded as one text
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-ODD_SPACE = re.compile(r" (?:\s|$)|(?:^|\s) ")
+ODD_SPACE = re.compile(r" (?:(?<=\s\s)|(?=\s))")
 PIECE_SPACE = "▁"  # fixed value: how sentence pieces write a space
 
 _units: dict[tuple[str, str], UnitTable] = {}
@@ -110,69 +111,93 @@ class UnitTable:
         self.counts = np.zeros((0, 4), dtype=np.int64)  # tokens of A and B, groups, links
         self.good = np.zeros(0, dtype=bool)
         self.first = np.zeros(0, dtype=np.int64)
-        self.links = np.zeros(0, dtype=np.int64)  # A id << 32 | B id
+        self.links = np.zeros(0, dtype=np.int32)  # places in ``pairs``
+        self.pairs = np.zeros(0, dtype=np.int64)  # A id << 32 | B id
 
     def units(self, text: str) -> list[str]:
         if not self.cuts:
             return [text]
-        return INNER_SPACE.split(text) if ODD_SPACE.search(text) else text.split(" ")
+        odd = text[0] == " " or text[-1] == " " or ODD_SPACE.search(text)
+        return INNER_SPACE.split(text) if odd else text.split(" ")
 
-    def look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(unit, text) of every unit of every text."""
         if len(self.index) > self.known or len(self.links) > KNOWN_LINKS:
             self.clear()
         words = [self.units(t) if t else [] for t in texts]
         index = self.index
         fresh = [u for u in dict.fromkeys(chain.from_iterable(words)) if u not in index]
-        if fresh:
-            self._add(fresh)
+        # Words without white space at their edges meet at edges of both sides, also when joined.
+        bare = [bool(self.cuts and u and not u[0].isspace() and not u[-1].isspace()) for u in fresh]
+        joined = [u for u, b in zip(fresh, bare, strict=True) if b]
+        for at in range(0, len(joined), 64 * JOINED_UNITS):
+            some = joined[at:at + 64 * JOINED_UNITS]
+            self._add([some[i:i + JOINED_UNITS] for i in range(0, len(some), JOINED_UNITS)])
+        alone = [[u] for u, b in zip(fresh, bare, strict=True) if not b]
+        for at in range(0, len(alone), JOINED_UNITS):
+            self._add(alone[at:at + JOINED_UNITS])
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         units = np.fromiter(map(index.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
         return units, np.repeat(np.arange(len(texts)), sizes)
 
-    def _add(self, words: list[str]) -> None:
-        raw = [f" {w}".encode() for w in words]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
-        ids_b = self.b.encode(words, num_threads=1)
-        good = np.ones(len(words), dtype=bool)
-        for side, ids in ((self.side_a, ids_a), (self.side_b, ids_b)):
-            good &= [b"".join([side.tokens[i] for i in x]) == r for x, r in zip(ids, raw, strict=True)]
-        for i in np.flatnonzero(~good).tolist():
-            ids_a[i], ids_b[i] = [], []
-        counts, groups, links = self._align(ids_a, ids_b)
-        text = iter(groups)
-        self.groups.extend(next(text) if g else "" for g in good.tolist())
-        start = len(self.good)
+    def _add(self, rows: list[list[str]]) -> None:
+        """New words; each row of them is encoded as one text."""
+        texts = [" ".join(r) for r in rows]
+        sides = (
+            (self.side_a, [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]),
+            (self.side_b, self.b.encode(texts, num_threads=1)))
+        whole = [all(b"".join([side.tokens[i] for i in ids[at]]) == f" {t}".encode() for side, ids in sides)
+                 for at, t in enumerate(texts)]
+        kept = [at for at, ok in enumerate(whole) if ok]
+        words = [w for at in kept for w in rows[at]]
+        if words:
+            self._align(words, *(np.fromiter(chain.from_iterable(ids[at] for at in kept), np.int64)
+                                 for _, ids in sides))
+        for at in (at for at, ok in enumerate(whole) if not ok):
+            if len(rows[at]) > 1:  # find the one that does not come back
+                self._add([[w] for w in rows[at]])
+            else:
+                self._store(rows[at], np.zeros((1, 4), np.int64), [""], np.zeros(0, np.int64), good=False)
+
+    def _store(self, words: list[str], counts: np.ndarray, groups: list[str], links: np.ndarray,
+               good: bool = True) -> None:
+        start = len(self.groups)
         self.index.update(zip(words, range(start, start + len(words)), strict=True))
+        self.groups.extend(groups)
         self.first = np.append(self.first, len(self.links) + np.cumsum(counts[:, 3]) - counts[:, 3])
-        self.good, self.counts = np.append(self.good, good), np.vstack([self.counts, counts])
-        self.links = np.append(self.links, links)
-
-    def _align(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple[np.ndarray, list[str], np.ndarray]:
-        """Counts of every word, the groups of every word with tokens, and all links in order."""
-        counts = np.zeros((len(ids_a), 4), dtype=np.int64)
-        counts[:, 0], counts[:, 1] = [len(x) for x in ids_a], [len(x) for x in ids_b]
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n))
-                for x, n in ((ids_a, counts[:, 0].sum()), (ids_b, counts[:, 1].sum())))
-        if not len(a):
-            return counts, [], np.zeros(0, np.int64)
+        self.good = np.append(self.good, np.full(len(words), good))
+        self.counts = np.vstack([self.counts, counts])
+        known = np.argsort(self.pairs)
+        pairs, which = np.unique(links, return_inverse=True)
+        at = np.searchsorted(self.pairs[known], pairs)
+        new = np.append(self.pairs[known], -1)[at] != pairs
+        place = np.append(known, 0)[at]
+        place[new] = len(self.pairs) + np.arange(new.sum())
+        self.pairs = np.append(self.pairs, pairs[new])
+        self.links = np.append(self.links, place[which].astype(np.int32))
+
+    def _align(self, words: list[str], a: np.ndarray, b: np.ndarray) -> None:
+        """Stores words whose ids on both sides, end to end, spell them with a space before each."""
+        counts = np.zeros((len(words), 4), dtype=np.int64)
+        edge = np.cumsum([len(w.encode()) + 1 for w in words])
         end_a, end_b = np.cumsum(self.side_a.size[a]), np.cumsum(self.side_b.size[b])
-        both = np.intersect1d(end_a, end_b, assume_unique=True)
-        word_of = np.repeat(np.arange(len(ids_a)), counts[:, 0])
+        ends = np.concatenate([end_a, end_b])
+        ends.sort(kind="stable")
+        repeated = np.diff(ends, prepend=-1) == 0
+        both, edges = ends[repeated], ends[~repeated]
         # Between two neighbouring ends of either side lies one token of each: these two are linked.
-        edges = np.union1d(end_a, end_b)
         link_a, link_b = np.searchsorted(end_a, edges), np.searchsorted(end_b, edges)
-        counts[:, 3] = np.bincount(word_of[link_a], minlength=len(ids_a))
-        counts[:, 2] = np.bincount(word_of[np.searchsorted(end_a, both)], minlength=len(ids_a))
+        for column, at in enumerate((end_a, end_b, both, edges)):
+            counts[:, column] = np.diff(np.searchsorted(at, edge, side="right"), prepend=0)
         group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
-        closes_a, closes_b = both[group_a] == end_a, both[group_b] == end_b
-        forms_a = np.where(closes_a, self.side_a.last[a], self.side_a.inner[a])
-        forms_b = np.where(closes_b, self.side_b.last[b], self.side_b.inner[b])
-        ends = np.cumsum(counts[:, 1])[counts[:, 1] > 0] - 1
-        forms_b[ends] = self.end[b[ends]]
-        order = np.argsort(np.append(2 * group_a, 2 * group_b + 1), kind="stable")
-        groups = "".join(np.append(forms_a, forms_b)[order].tolist()).split("\n")[:-1]
-        return counts, groups, a[link_a] << 32 | b[link_b]
+        forms_a = np.where(both[group_a] == end_a, self.side_a.last[a], self.side_a.inner[a])
+        forms_b = np.where(both[group_b] == end_b, self.side_b.last[b], self.side_b.inner[b])
+        last = np.searchsorted(end_b, edge)
+        forms_b[last] = self.end[b[last]]
+        forms = np.empty(len(a) + len(b), dtype=object)
+        forms[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = forms_a
+        forms[np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")] = forms_b
+        self._store(words, counts, "".join(forms.tolist()).split("\n")[:-1], a[link_a] << 32 | b[link_b])
 
 
 def units_of(path_a: str, path_b: str) -> UnitTable:
@@ -201,22 +226,34 @@ def radix_of(pairs: np.ndarray, radixes: int) -> np.ndarray:
     return (mix((pairs >> 32).astype(np.uint64)) % np.uint64(radixes)).astype(np.int64)
 
 
-def _records(table: UnitTable, units: np.ndarray, text: np.ndarray,
-             n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, text, times) of all links, one record per pair and text, by pair."""
+def _runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of an equal value begin, and how long they are."""
+    new = np.flatnonzero(np.diff(values, prepend=-1))
+    return new, np.diff(np.append(new, len(values)))
+
+
+def _records(table: UnitTable, units: np.ndarray, text: np.ndarray, n_texts: int,
+             radixes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(radix, pair, text, times) of all links, one record per pair and text, in this order."""
     known = len(table.good)
-    met, repeats = np.unique(text * known + units, return_counts=True)
+    met = np.sort(text * known + units)
+    new, repeats = _runs_of(met)
+    met = met[new]
     unit = met % known
     n = table.counts[unit, 3]
     ends = np.cumsum(n)
     at = np.repeat(table.first[unit] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-    pairs, which = np.unique(table.links[at], return_inverse=True)
-    place = which * n_texts + np.repeat(met // known, n)
-    order = np.argsort(place, kind="stable")
-    place = place[order]
-    new = np.flatnonzero(np.diff(place, prepend=-1))
-    times = np.add.reduceat(np.repeat(repeats, n)[order], new) if len(new) else np.zeros(0, np.int64)
-    return pairs[place[new] // n_texts], place[new] % n_texts, times
+    radix = radix_of(table.pairs, radixes)
+    order = np.lexsort((table.pairs, radix))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    place = rank[table.links[at]] * n_texts + np.repeat(met // known, n)
+    by_place = np.argsort(place)
+    place = place[by_place]
+    new, _ = _runs_of(place)
+    times = np.add.reduceat(np.repeat(repeats, n)[by_place], new) if len(new) else np.zeros(0, np.int64)
+    pair = order[place[new] // n_texts]
+    return radix[pair], table.pairs[pair], place[new] % n_texts, times
 
 
 RUN = "pairs binary, counts binary"
@@ -239,17 +276,14 @@ def _spill(path_a: str, path_b: str, radixes: int, kind: pa.DataType) -> Callabl
             edges = np.searchsorted(text, np.arange(n + 1)).tolist()
             names = list(map(table.groups.__getitem__, units.tolist()))
             sums = [np.bincount(text, table.counts[units, i], n).astype(np.int64) for i in range(4)]
-            pairs, place, times = _records(table, units, text, n)
-            radix = radix_of(pairs, radixes)
-            order = np.argsort(radix, kind="stable")
-            pairs, place, times, radix = pairs[order], place[order], times[order], radix[order]
+            radix, pairs, place, times = _records(table, units, text, n, radixes)
             used = np.unique(radix).tolist()
             runs = {"pairs": [], "counts": [], "places": [], "times": []}
             for a, b in zip(np.searchsorted(radix, used).tolist(), np.searchsorted(radix, used, "right").tolist(),
                             strict=True):
-                new = np.flatnonzero(np.diff(pairs[a:b], prepend=-1))
+                new, counts = _runs_of(pairs[a:b])
                 runs["pairs"].append(pack_numbers(pairs[a:b][new], ascending=True))
-                runs["counts"].append(pack_numbers(np.diff(np.append(new, b - a))))
+                runs["counts"].append(pack_numbers(counts))
                 runs["places"].append(pack_numbers(place[a:b]))
                 runs["times"].append(pack_numbers(times[a:b]))
             blank, m = [None] * n, len(used)

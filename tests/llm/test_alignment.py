@@ -109,7 +109,7 @@ def test_any_text(plain, text):
         return
     assert table.counts[units].sum(axis=0).tolist()[:2] == [len(a), len(b)]
     assert ";".join(table.groups[u] for u in units.tolist()) == groups
-    mine = Counter(int(k) for u in units.tolist()
+    mine = Counter(int(table.pairs[k]) for u in units.tolist()
                    for k in table.links[table.first[u]:table.first[u] + table.counts[u, 3]])
     assert mine == Counter(x << 32 | y for x, y in links)
 

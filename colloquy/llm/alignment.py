@@ -42,7 +42,7 @@ from colloquy.llm.rolling import mix
 from colloquy.llm.tokens import byte_letters, piece_family
 from colloquy.session import materialise
 
-BATCH_DOCUMENTS = 1_000
+BATCH_DOCUMENTS = 500
 RADIXES = 16
 FAN_IN = 64  # runs merged at a time
 KNOWN_UNITS = 250_000  # in a worker's table; it starts anew when it is full

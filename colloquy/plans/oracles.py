@@ -103,7 +103,7 @@ def _intent_of(prompt: str) -> str:
 
 
 _DOCS = f"""docs AS (
-  SELECT doc_id, lang, source, n_chars, coalesce({_language('text')}, 'other') AS pred
+  SELECT doc_id, lang, source, n_chars, text, coalesce({_language('text')}, 'other') AS pred
   FROM documents)"""
 
 _FLAGGED = f"""flagged AS (

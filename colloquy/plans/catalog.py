@@ -27,6 +27,7 @@ from colloquy.operators.embedding import HashedTfidf
 from colloquy.operators.grounding import grounding_scores
 from colloquy.operators.inference import (Call, ResponseTable, answer, cache_stats, lookup,
                                           request_key)
+from colloquy.operators.plane_buckets import approximate_topk, recall_against
 from colloquy.operators.predictors import constant_predictor, simple_predictor
 from colloquy.operators.sparse_neighbours import nearest_text
 from colloquy.operators.turns import rolling_buffer
@@ -416,6 +417,34 @@ def vector_neighbours(spark, sf_dir):
                        "neighbour_id", F.round("score", 6).alias("score"))
 
 
+# Neighbours of at least this similarity are found with a chance of 0.97 by the buckets and by the sketch.
+APPROXIMATE = {"similarity": 0.27, "recall": 0.97, "bits": 4, "tables": 28}
+
+
+def _approximate(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    vectors = embeddings(spark, sf_dir)
+    return approximate_topk(vectors, vectors, k=3, query_id="vec_id", exclude_self=True, **APPROXIMATE)
+
+
+def approx_neighbours(spark, sf_dir):
+    near, _ = _approximate(spark, sf_dir)
+    return near.select(F.col("query_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"),
+                       "neighbour_id", F.round("score", 6).alias("score"))
+
+
+def approx_recall(spark, sf_dir):
+    """How many of the exact neighbours are found, and the share of all pairs that was scored."""
+    vectors = embeddings(spark, sf_dir)
+    near, scored = _approximate(spark, sf_dir)
+    exact = vector_topk(vectors, vectors, k=3, query_id="vec_id", exclude_self=True)
+    pairs = scored.where("q <> d").agg(F.count(F.lit(1)).alias("n_scored"))  # one row
+    rows = recall_against(near, exact).crossJoin(F.broadcast(pairs))
+    n = vectors.agg(F.count(F.lit(1)).alias("n"))  # one row
+    return rows.crossJoin(F.broadcast(n)).select(
+        "n_wanted", "n_found", F.round("recall", 6).alias("recall"), "n_scored",
+        F.round(F.col("n_scored") / (F.col("n") * (F.col("n") - 1)), 6).alias("scored_share"))
+
+
 def grounding(spark, sf_dir):
     vectors = embeddings(spark, sf_dir)
     drafts = vectors.select(
@@ -598,7 +627,8 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     label_progress, append_labels,
     confusion, class_report, intent_metrics, error_listing, binary_metrics, rate_by_class,
     kappa, pearson, rater_offset, systems_scores, systems_summary,
-    tfidf_stats, tfidf_vectors, tfidf_nn, tfidf_nn_other, vector_neighbours, grounding,
+    tfidf_stats, tfidf_vectors, tfidf_nn, tfidf_nn_other, vector_neighbours, approx_neighbours,
+    approx_recall, grounding,
     embed_search,
     prompt_build, parse_classify, parse_decision, parse_judge, cache_keys, cache_lookup,
     model_cache_stats, model_answers, ablation, judge_scores, judge_calibration, judge_mean,

@@ -7,7 +7,9 @@ conditional sums, and nearest neighbours from joins over all pairs.
 from __future__ import annotations
 
 from colloquy.functions.rules import ESCALATED_REASON, NOT_ESCALATED_REASON
+from colloquy.operators.plane_buckets import SKETCH_BITS, sketch_limit
 from colloquy.operators.predictors import CANNED_REPLY, CONSTANT_REASON
+from colloquy.plans.catalog import APPROXIMATE
 
 
 def _clean(c: str) -> str:
@@ -196,6 +198,33 @@ def _weights(counts: str, key: str, name: str) -> str:
 
 _DOC_WEIGHTS = f"{_VOCAB}, {_weights('counts', 'doc_id', 'dw')}"
 
+_EXACT = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e
+  FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v),
+scored AS (SELECT a.vec_id, b.vec_id AS neighbour_id,
+    round(list_dot_product(a.e, b.e) / (a.l * b.l), 9) AS s
+  FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour_id) AS rank
+  FROM scored)"""
+
+_BITS, _TABLES = APPROXIMATE["bits"], APPROXIMATE["tables"]
+_LIMIT = sketch_limit(APPROXIMATE["similarity"], APPROXIMATE["recall"])
+_NEAR = f"""{_EXACT},
+planes AS (SELECT p, list(CASE WHEN substr(md5(p || ':' || i), 1, 1) < '8' THEN 1.0 ELSE -1.0 END
+                          ORDER BY i)::DOUBLE[] AS signs
+  FROM range({_BITS * _TABLES + SKETCH_BITS}) x(p), range((SELECT max(len(e)) FROM v)) y(i) GROUP BY p),
+sides AS (SELECT vec_id, string_agg(CASE WHEN list_dot_product(e, signs) > 0 THEN '1' ELSE '0' END, ''
+                                    ORDER BY p) AS side
+  FROM v, planes GROUP BY vec_id),
+codes AS (SELECT vec_id, t, substr(side, t * {_BITS} + 1, {_BITS}) AS code FROM sides, range({_TABLES}) z(t)),
+met AS (SELECT DISTINCT a.vec_id, b.vec_id AS neighbour_id FROM codes a JOIN codes b
+  ON a.t = b.t AND a.code = b.code AND a.vec_id <> b.vec_id),
+alike AS (SELECT m.* FROM met m JOIN sides a ON a.vec_id = m.vec_id JOIN sides b ON b.vec_id = m.neighbour_id
+  WHERE bit_count(xor(CAST(substr(a.side, {_BITS * _TABLES + 1}) AS BIT),
+                      CAST(substr(b.side, {_BITS * _TABLES + 1}) AS BIT))) <= {_LIMIT}),
+near AS (SELECT vec_id, neighbour_id, s, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour_id) AS rank
+  FROM scored JOIN alike USING (vec_id, neighbour_id))"""
+
 _ANSWERS = """kinds AS (
   SELECT conv_id, turn, (conv_id + turn + length(text)) % 7 AS kind,
          regexp_replace(text, '["\\\\\\n]', ' ', 'g') AS head
@@ -405,15 +434,18 @@ SELECT d.doc_id, coalesce(other, CASE WHEN d.doc_id = a THEN b ELSE a END) AS ne
        round(coalesce(s, 0), 6) AS score
 FROM documents d CROSS JOIN lowest CROSS JOIN next
 LEFT JOIN (SELECT * FROM best WHERE place = 1) x ON d.doc_id = x.doc_id""",
-    "vector_neighbours": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e
-  FROM embeddings),
-u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v),
-scored AS (SELECT a.vec_id, b.vec_id AS neighbour_id,
-    round(list_dot_product(a.e, b.e) / (a.l * b.l), 9) AS s
-  FROM u a JOIN u b ON a.vec_id <> b.vec_id),
-best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour_id) AS rank
-  FROM scored)
+    "vector_neighbours": f"""WITH {_EXACT}
 SELECT vec_id, rank, neighbour_id, round(s, 6) AS score FROM best WHERE rank <= 3""",
+    "approx_neighbours": f"""WITH {_NEAR}
+SELECT vec_id, rank, neighbour_id, round(s, 6) AS score FROM near WHERE rank <= 3""",
+    "approx_recall": f"""WITH {_NEAR},
+wanted AS (SELECT b.vec_id, n.vec_id IS NOT NULL AS hit FROM best b LEFT JOIN
+  (SELECT * FROM near WHERE rank <= 3) n ON n.vec_id = b.vec_id AND n.neighbour_id = b.neighbour_id
+  WHERE b.rank <= 3)
+SELECT count(*) AS n_wanted, count(*) FILTER (hit) AS n_found,
+       round(count(*) FILTER (hit) / count(*), 6) AS recall,
+       (SELECT count(*) FROM alike) AS n_scored,
+       round((SELECT count(*) FROM alike) / (SELECT count(*) FROM scored), 6) AS scored_share FROM wanted""",
     "grounding": """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e
   FROM embeddings),
 s AS (SELECT vec_id, e, unnest([vec_id + 1, vec_id * 2, CAST(label AS BIGINT), -1]) AS src FROM v),

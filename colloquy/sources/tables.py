@@ -9,22 +9,17 @@ from pyspark.sql import types as T
 from colloquy.functions.rules import labelled
 from colloquy.functions.text import blank_to_null
 from colloquy.schema import THREADS, TURN, TWEETS
+from colloquy.sources.split_csv import read_split_csv
 
 _TURNS = T.ArrayType(TURN)
 
 
-def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Quoted fields may hold line breaks and doubled quotes."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').csv(path))
-
-
 def _strings(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
 
 
 def read_tweets_csv(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, path, TWEETS)
+    return read_split_csv(spark, path, TWEETS)
 
 
 def read_tweets(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +38,7 @@ def read_threads(spark: SparkSession, path: str) -> DataFrame:
 
 def read_threads_csv(spark: SparkSession, path: str) -> DataFrame:
     """Threads exported with ``write_threads_csv``."""
-    rows = _csv(spark, path, _strings(THREADS))
+    rows = read_split_csv(spark, path, _strings(THREADS))
     return usable_threads(rows.withColumns({
         "prior_context": F.from_json("prior_context", _TURNS),
         "escalated": F.col("escalated").cast("boolean")}))
@@ -60,7 +55,7 @@ def read_labelled(rows: DataFrame, label: str = "intent") -> DataFrame:
 
 def read_strings_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Every column as text, missing values as the empty string."""
-    return _csv(spark, path, _strings(schema)).na.fill("")
+    return read_split_csv(spark, path, _strings(schema)).na.fill("")
 
 
 def write_threads(threads: DataFrame, path: str, mode: str = "overwrite") -> None:

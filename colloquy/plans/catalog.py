@@ -31,6 +31,7 @@ from colloquy.operators.plane_buckets import approximate_topk, recall_against
 from colloquy.operators.predictors import constant_predictor, simple_predictor
 from colloquy.operators.sparse_neighbours import nearest_text
 from colloquy.operators.turns import rolling_buffer
+from colloquy.operators.vector_store import stored_topk, write_cells
 from colloquy.operators.vector_topk import vector_topk
 from colloquy.plans import evaluation as ev
 from colloquy.plans.agent import classify_prompt, decide_prompt, draft_prompt, run_agent
@@ -445,6 +446,16 @@ def approx_recall(spark, sf_dir):
         F.round(F.col("n_scored") / (F.col("n") * (F.col("n") - 1)), 6).alias("scored_share"))
 
 
+def stored_neighbours(spark, sf_dir):
+    """Vectors stored in cells; the neighbours of every twentieth from the cells that can hold them."""
+    path = scratch_path(spark, "cells")
+    vectors = embeddings(spark, sf_dir)
+    write_cells(vectors, path, payload=["label"])
+    near, _ = stored_topk(spark, path, vectors.where("vec_id % 20 = 0"), query_id="vec_id", exclude_self=True)
+    return near.select(F.col("query_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"),
+                       "neighbour_id", F.round("score", 6).alias("score"))
+
+
 def grounding(spark, sf_dir):
     vectors = embeddings(spark, sf_dir)
     drafts = vectors.select(
@@ -628,7 +639,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     confusion, class_report, intent_metrics, error_listing, binary_metrics, rate_by_class,
     kappa, pearson, rater_offset, systems_scores, systems_summary,
     tfidf_stats, tfidf_vectors, tfidf_nn, tfidf_nn_other, vector_neighbours, approx_neighbours,
-    approx_recall, grounding,
+    approx_recall, stored_neighbours, grounding,
     embed_search,
     prompt_build, parse_classify, parse_decision, parse_judge, cache_keys, cache_lookup,
     model_cache_stats, model_answers, ablation, judge_scores, judge_calibration, judge_mean,

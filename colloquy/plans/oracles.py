@@ -436,6 +436,8 @@ FROM documents d CROSS JOIN lowest CROSS JOIN next
 LEFT JOIN (SELECT * FROM best WHERE place = 1) x ON d.doc_id = x.doc_id""",
     "vector_neighbours": f"""WITH {_EXACT}
 SELECT vec_id, rank, neighbour_id, round(s, 6) AS score FROM best WHERE rank <= 3""",
+    "stored_neighbours": f"""WITH {_EXACT}
+SELECT vec_id, rank, neighbour_id, round(s, 6) AS score FROM best WHERE rank <= 3 AND vec_id % 20 = 0""",
     "approx_neighbours": f"""WITH {_NEAR}
 SELECT vec_id, rank, neighbour_id, round(s, 6) AS score FROM near WHERE rank <= 3""",
     "approx_recall": f"""WITH {_NEAR},

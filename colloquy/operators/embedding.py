@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from string import ascii_lowercase
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,8 @@ HASH_DIM = 256
 
 
 def embed(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]],
-          out: str = "embedding", batch: int = BATCH) -> DataFrame:
-    """Adds unit-length vectors from an encoder.
+          out: str = "embedding", batch: int = BATCH, scale: bool = True) -> DataFrame:
+    """Adds vectors from an encoder, of unit length unless ``scale`` is off.
 
     ``load`` runs once per task and returns the encoder, which maps a list of texts to a
     matrix with one row per text.
@@ -32,13 +33,20 @@ def embed(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], np.
             rows: list[np.ndarray] = []
             for at in range(0, len(texts), batch):
                 block = np.asarray(encoder(texts[at:at + batch]), dtype="float32")
-                length = np.linalg.norm(block, axis=1, keepdims=True)
-                rows.extend(block / np.where(length > 0, length, 1.0))
+                if scale:
+                    length = np.linalg.norm(block, axis=1, keepdims=True)
+                    block = block / np.where(length > 0, length, 1.0)
+                rows.extend(block)
             yield pd.Series(rows)
 
     return df.withColumn(out, encode(F.col(text)))
 
 
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """How often each letter from a to z occurs: an encoder without a model file, and exact."""
+    return np.array([[t.count(c) for c in ascii_lowercase] for t in texts], dtype="float32").reshape(-1, 26)
+
+
 class HashedTfidf:
     """Words hashed to a fixed number of dimensions, weighted by idf; no model file needed.
 

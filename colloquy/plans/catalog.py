@@ -23,7 +23,7 @@ from colloquy.operators import sampling as sp
 from colloquy.operators import tfidf
 from colloquy.operators import threads as th
 from colloquy.operators.classifier import train_and_report, train_classifier
-from colloquy.operators.embedding import HashedTfidf
+from colloquy.operators.embedding import embed, letter_counts
 from colloquy.operators.grounding import grounding_scores
 from colloquy.operators.inference import (Call, ResponseTable, answer, cache_stats, lookup,
                                           request_key)
@@ -467,13 +467,16 @@ def grounding(spark, sf_dir):
     return scores.withColumn("grounding", F.round("grounding", 6))
 
 
+def _embedded(df: DataFrame, text: str) -> DataFrame:
+    rows = spread(df).withColumn("_clean", tx.clean(F.col(text)))
+    return embed(rows, "_clean", lambda: letter_counts, scale=False).drop("_clean")
+
+
 def embed_search(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    model = HashedTfidf().fit(docs, "text")
-    corpus = model.transform(docs.select("doc_id", "text"), "text")
-    asked = model.transform(benchmark(spark, sf_dir), "text")
+    corpus = _embedded(documents(spark, sf_dir).select("doc_id", "text"), "text")
+    asked = _embedded(benchmark(spark, sf_dir), "text")
     near = vector_topk(asked, corpus, k=3, query_id="item_id", corpus_id="doc_id")
-    return near.select(F.col("query_id").alias("item_id"), "rank",
+    return near.select(F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"),
                        F.col("neighbour_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -597,8 +600,7 @@ def judge_mean(spark, sf_dir):
 
 def agent_batch(spark, sf_dir):
     threads = materialise(_threads(spark, sf_dir), "threads")
-    model = HashedTfidf().fit(threads, "customer_text")
-    rows = materialise(model.transform(threads, "customer_text"), "vectors")
+    rows = materialise(_embedded(threads, "customer_text"), "vectors")
     return run_agent(rows, rows, stand_in_model, intents=LANGS, exclude_self=True).select(
         "thread_id", "had_context", "intent", "confidence",
         F.array_join("sources", ",").alias("sources"), "decision", "reason")

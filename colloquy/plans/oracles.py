@@ -6,6 +6,8 @@ conditional sums, and nearest neighbours from joins over all pairs.
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from colloquy.functions.rules import ESCALATED_REASON, NOT_ESCALATED_REASON
 from colloquy.operators.plane_buckets import SKETCH_BITS, sketch_limit
 from colloquy.operators.predictors import CANNED_REPLY, CONSTANT_REASON
@@ -198,6 +200,18 @@ def _weights(counts: str, key: str, name: str) -> str:
 
 _DOC_WEIGHTS = f"{_VOCAB}, {_weights('counts', 'doc_id', 'dw')}"
 
+
+
+def _letters(source: str, key: str, text: str, name: str) -> str:
+    """Letter counts of the cleaned text, and their length."""
+    return f"""{name}_clean AS (SELECT {key}, {_clean(text)} AS c FROM {source}),
+{name}_counts AS (SELECT {key}, list_transform(string_split('{','.join(ascii_lowercase)}', ','),
+    lambda x: CAST(length(c) - length(replace(c, x, '')) AS DOUBLE)) AS e FROM {name}_clean),
+{name} AS (SELECT {key}, e, sqrt(list_dot_product(e, e)) AS l FROM {name}_counts)"""
+
+
+_COSINE = "coalesce(round(list_dot_product(a.e, b.e) / nullif(a.l * b.l, 0), 9), 0)"
+
 _EXACT = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e
   FROM embeddings),
 u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v),
@@ -448,6 +462,33 @@ SELECT count(*) AS n_wanted, count(*) FILTER (hit) AS n_found,
        round(count(*) FILTER (hit) / count(*), 6) AS recall,
        (SELECT count(*) FROM alike) AS n_scored,
        round((SELECT count(*) FROM alike) / (SELECT count(*) FROM scored), 6) AS scored_share FROM wanted""",
+    "embed_search": f"""WITH {_letters('benchmark', 'item_id', 'text', 'asked')},
+{_letters('documents', 'doc_id', 'text', 'held')},
+near AS (SELECT a.item_id, b.doc_id, {_COSINE} AS s FROM asked a, held b),
+best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM near)
+SELECT item_id, rank, doc_id, round(s, 6) AS score FROM best WHERE rank <= 3""",
+    "agent_batch": f"""WITH {_BLOCKS},
+{_letters('threads', 'thread_id', 'customer_text', 'u')},
+near AS (SELECT a.thread_id, b.thread_id AS other, {_COSINE} AS s
+  FROM u a JOIN u b ON a.thread_id <> b.thread_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY s DESC, other) AS rank FROM near),
+hits AS (SELECT b.thread_id, string_agg(other, ',' ORDER BY rank) AS sources,
+    string_agg('Case ' || rank || ':' || chr(10) || '  Customer: ' || t.customer_text || chr(10)
+               || '  Support: ' || t.brand_reply, chr(10) || chr(10) ORDER BY rank) AS examples
+  FROM best b JOIN threads t ON t.thread_id = b.other WHERE rank <= 3 GROUP BY b.thread_id),
+classified AS (SELECT *, {_intent_of("(earlier || 'Message:' || chr(10) || customer_text)")} AS intent FROM prompts),
+asked AS (SELECT c.*, coalesce(h.sources, '') AS sources,
+    'Intent: ' || intent || chr(10) || earlier || suggested || 'Similar cases:' || chr(10)
+    || coalesce(examples, '') || chr(10) || chr(10) || 'Message:' || chr(10) || customer_text AS draft
+  FROM classified c LEFT JOIN hits h USING (thread_id)),
+told AS (SELECT *, {_intent_of('draft')} AS said FROM asked),
+drafted AS (SELECT *, 'Intent: ' || intent || chr(10) || earlier || 'Message:' || chr(10) || customer_text
+    || chr(10) || 'Draft:' || chr(10) || '{{"intent": "' || said || '", "confidence": "high", "decision": "'
+    || CASE WHEN said = 'fr' THEN 'escalate' ELSE 'auto' END || '", "reason": "' || said || '", "score": '
+    || length(draft) % 7 || '}}' AS asking FROM told),
+decided AS (SELECT *, {_intent_of('asking')} AS verdict FROM drafted)
+SELECT thread_id, last4 <> '' AS had_context, intent, 'high' AS confidence, sources,
+  CASE WHEN verdict = 'fr' THEN 'escalate' ELSE 'auto' END AS decision, verdict AS reason FROM decided""",
     "grounding": """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e
   FROM embeddings),
 s AS (SELECT vec_id, e, unnest([vec_id + 1, vec_id * 2, CAST(label AS BIGINT), -1]) AS src FROM v),

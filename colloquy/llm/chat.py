@@ -6,9 +6,9 @@ fingerprint selects its layout directly, otherwise the layout with the most path
 present is taken. Every layout ends as canonical turns (conv_id, turn, role, text).
 
 A turn is written as ``START role NEWLINE text END NEWLINE``. A backslash inside role or text is doubled,
-and one is put behind the first character of every control string there (and before a line
-break in a role), so the marks are the only control strings of the output and a text is read
-back unchanged.
+and one is put behind the first character of every control string there; a line break in a role
+is a backslash and an n. So the marks are the only control strings of the output, a role ends at
+its first line break, and both are read back unchanged, however long they are.
 
 Nulls: a null role or text is empty; turns without a conversation id form one conversation;
 turns with equal numbers are ordered by what is written. Empty lists and tables give no turns.
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,10 +189,14 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+# A written line break: a backslash that is not itself escaped, and the letter n.
+LINE_BREAK = r"(?<!\\)((?:\\\\)*+)\\n"
+
+
 def format_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, piece, loss_start, loss_length): the pieces of a conversation in order
     are its formatted text; the loss mask covers the written text of trained turns."""
-    role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n"))
+    role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n"))
     text = escape(F.col("text"))
     trained = F.col("role") == TRAINED
     return turns.select("conv_id", "turn", role.alias("r"), text.alias("t"), trained.alias("trained")).select(
@@ -202,11 +207,11 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 def read_turns(pieces: DataFrame) -> DataFrame:
     """Formatted pieces back to (conv_id, turn, role, text, loss, piece_chars)."""
-    whole = r"(?s)^<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*)<\|im_end\|>\n$"
+    whole = r"(?s)^<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n$"
     loss = F.substring(F.col("piece"), F.col("loss_start") + 1, F.col("loss_length"))
     return pieces.select(
         "conv_id", "turn", "piece",
-        unescape(F.regexp_extract("piece", whole, 1)).alias("role"),
+        unescape(F.regexp_replace(F.regexp_extract("piece", whole, 1), LINE_BREAK, "$1\\\\\n")).alias("role"),
         unescape(F.regexp_extract("piece", whole, 2)).alias("text"),
         unescape(loss).alias("loss"), F.length("piece").alias("piece_chars"))
 
@@ -214,16 +219,18 @@ def read_turns(pieces: DataFrame) -> DataFrame:
 def conversation_digests(turns: DataFrame) -> DataFrame:
     """One row per conversation, hashed turn by turn over a sorted partition: a conversation
     of any length takes the memory of one batch."""
-    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list | None = None
 
         def row() -> list:
             return [now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]]
 
-        for frame in frames:
+        for batch in batches:
             done = []
-            for conv, role, text, loss, chars in frame.itertuples(index=False, name=None):
-                conv = None if pd.isna(conv) else int(conv)
+            for conv, role, text, loss, chars in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if now is None or now[0] != conv:
                     if now is not None:
                         done.append(row())
@@ -232,19 +239,17 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
                 now[2].update(f"{role}\n{text}\n".encode())
                 now[3] += len(loss)
                 now[4].update(loss.encode())
-                now[5] += int(chars)
+                now[5] += chars
             yield table(done)
         if now is not None:
             yield table([row()])
 
-    def table(rows: list[list]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars",
-                                          "loss_sha256", "formatted_chars"])
-        return out.astype({"conv_id": "Int64", "n_turns": "int64", "loss_chars": "int64",
-                           "formatted_chars": "int64"})
+    def table(rows: list[list]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = turns.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "piece").select(
         "conv_id", "role", "text", "loss", "piece_chars")
-    return ordered.mapInPandas(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
+    return ordered.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
                                        "loss_sha256 string, formatted_chars long")

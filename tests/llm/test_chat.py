@@ -86,3 +86,18 @@ def test_table_layouts(spark):
 @given(st.permutations(["b[].x", "a", "c.d"]))
 def test_fingerprint_ignores_order(paths):
     assert chat.fingerprint(tuple(paths)) == chat.fingerprint(("a", "b[].x", "c.d"))
+
+
+def test_long_roles_and_line_breaks_in_roles(spark):
+    roles = ["r" * 1_000_000, "a\nb", "\\n", "\\\\n", "\\\n", "\n\n\\", "n\\", "\\\\\nn", "</s>\n[INST]", "\\" * 3_000 + "\n"]
+    rows = [(1, i, r, f"text {i}\n\\") for i, r in enumerate(roles)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.role, r.text) for r in chat.read_turns(chat.format_turns(turns)).collect()}
+    assert got == {t: (role, text) for _, t, role, text in rows}
+
+
+def test_large_ids_next_to_null_ids(spark):
+    rows = [(None, 0, "user", "x"), (2**60 + 1, 0, "user", "a"), (2**60 + 2, 0, "user", "b"), (2**53 + 1, 0, "user", "c")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = chat.conversation_digests(chat.read_turns(chat.format_turns(turns))).collect()
+    assert {(r.conv_id, r.n_turns) for r in got} == {(c, 1) for c, *_ in rows}

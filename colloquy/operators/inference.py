@@ -4,6 +4,9 @@ The model is any function from a list of prompts and a ``Call`` (system text, mo
 settings) to a list of answers. Equal requests are sent once; answers are written down before
 anything reads them, so a retried task downstream does not call the model again. A prompt that
 fails for good becomes a row with its error: the answers to all other prompts are kept first.
+
+With a response table, requests are asked in parts of a bounded size and each part's answers
+are committed before the next one is asked, so a run that is lost resumes behind its last part.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from colloquy.schema import CACHE
 from colloquy.session import materialise, path_exists
 
 CALL_BATCH = 64
+COMMIT_ROWS = 100_000  # requests asked between two commits to the response table
+PREFIX = 2  # leading hex digits of a key that name its folder
 ANSWERED = T.StructType([*CACHE.fields, T.StructField("error", T.StringType())])
 
 
@@ -114,18 +119,49 @@ def call_model(requests: DataFrame, respond: Responder, call: Call = Call(), *,
 
 @dataclass(frozen=True)
 class ResponseTable:
-    """Answers by request key, kept as a Parquet table that grows by appending."""
+    """Answers by request key, in folders by the leading digits of the key.
+
+    A look-up reads only the folders of its keys. Commits append to the newest version of the
+    table; ``compact`` writes the next version with one row a key and one file a folder, and
+    readers change over once it is complete. Don't compact while a run appends.
+    """
 
     spark: SparkSession
     path: str
 
-    def read(self) -> DataFrame:
-        if not path_exists(self.spark, self.path):
+    def version(self) -> int:
+        """The newest complete version, 0 before the first commit."""
+        n = 0
+        while path_exists(self.spark, f"{self._folder(n + 1)}/_SUCCESS"):
+            n += 1
+        return n
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/version={version}"
+
+    def read(self, keys: DataFrame | None = None) -> DataFrame:
+        """``key, response`` of all answers, or of those whose folder one of ``keys`` is in."""
+        n = self.version()
+        if n == 0:
             return self.spark.createDataFrame([], CACHE)
-        return self.spark.read.schema(CACHE).parquet(self.path)
+        rows = self.spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in CACHE)}, "
+                                      "prefix string").parquet(self._folder(n))
+        if keys is not None:
+            wanted = keys.select(F.substring("key", 1, PREFIX).alias("p")).distinct().collect()  # 256 at most
+            rows = rows.where(F.col("prefix").isin([r["p"] for r in wanted]))
+        return rows.select(*CACHE.names)
 
     def append(self, answers: DataFrame) -> None:
-        answers.select("key", "response").write.mode("append").parquet(self.path)
+        self._write(answers, max(1, self.version()))
+
+    def _write(self, answers: DataFrame, version: int) -> None:
+        (answers.select(*CACHE.names, F.substring("key", 1, PREFIX).alias("prefix")).repartition("prefix")
+         .write.mode("append").partitionBy("prefix").parquet(self._folder(version)))
+
+    def compact(self) -> None:
+        """One row a key: of several answers the one that sorts first, as look-ups take it."""
+        if n := self.version():
+            self._write(self.read().groupBy("key").agg(F.min("response").alias("response")), n + 1)
 
     def stats(self) -> DataFrame:
         return cache_stats(self.read())
@@ -157,6 +193,7 @@ def answer(
     parallel_calls: int | None = None,
     retry_after: RetryAfter = Backoff(),
     keep_errors: bool = False,
+    commit_rows: int = COMMIT_ROWS,
 ) -> DataFrame:
     """Adds the model's answer to the prompt of each row.
 
@@ -170,14 +207,19 @@ def answer(
                            .dropDuplicates(["key"]), "requests")
     stored = None
     if cache is not None:
-        stored = materialise(cache.read().join(requests.select("key"), "key", "left_semi")
+        stored = materialise(cache.read(requests).join(requests.select("key"), "key", "left_semi")
                              .groupBy("key").agg(F.min("response").alias("response")), "stored")
     misses = requests if stored is None else requests.join(stored, "key", "left_anti")
-    if parallel_calls:
-        misses = misses.repartition(parallel_calls)
-    fresh = materialise(call_model(misses, respond, call, retry_after=retry_after), "answers")
-    if cache is not None:
-        cache.append(fresh.where("error is null"))
+    fresh = None
+    parts = 1 if cache is None else max(1, -(-misses.count() // commit_rows))
+    for part in range(parts):
+        asked = misses.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part) if parts > 1 else misses
+        if parallel_calls:
+            asked = asked.repartition(parallel_calls)
+        told = materialise(call_model(asked, respond, call, retry_after=retry_after), "answers")
+        if cache is not None:
+            cache.append(told.where("error is null"))
+        fresh = told if fresh is None else fresh.unionByName(told)
     if not keep_errors:
         failed = fresh.where("error is not null").select("error").limit(1).collect()
         if failed:

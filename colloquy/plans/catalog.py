@@ -565,6 +565,25 @@ def model_answers(spark, sf_dir):
                        an.read_score(F.col("answer"))[0].alias("score"))
 
 
+def cached_run(spark, sf_dir):
+    """User turns are answered and stored, then all turns: only the others reach the model."""
+    table = ResponseTable(spark, scratch_path(spark, "responses"))
+    rows = conversations(spark, sf_dir)
+    answer(rows.where("role = 'user'"), "text", stand_in_model, cache=table)
+    held = materialise(table.read().select("key"), "held")
+    table.compact()
+
+    def marked(prompts: list[str], call: Call) -> list[str]:
+        return [a.replace('"reason": "', '"reason": "new ') for a in stand_in_model(prompts, call)]
+
+    told = answer(rows, "text", marked, cache=table).withColumn("key", Call().key(F.col("text")))
+    intent, _ = an.read_intent(F.col("answer"), LANGS)
+    _, reason = an.read_decision(F.col("answer"))
+    return told.join(held.withColumn("stored", F.lit(True)), "key", "left").select(
+        "conv_id", "turn", intent.alias("intent"), reason.alias("reason"),
+        F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
 def _golden(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Threads, and the same threads labelled by the language rules on the reply."""
     threads = materialise(_threads(spark, sf_dir), "threads")
@@ -644,7 +663,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     approx_recall, stored_neighbours, grounding,
     embed_search,
     prompt_build, parse_classify, parse_decision, parse_judge, cache_keys, cache_lookup,
-    model_cache_stats, model_answers, ablation, judge_scores, judge_calibration, judge_mean,
+    model_cache_stats, model_answers, cached_run, ablation, judge_scores, judge_calibration, judge_mean,
     agent_batch,
     trivial_predict, simple_predict, train_report,
 )}

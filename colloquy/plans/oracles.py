@@ -532,6 +532,9 @@ WHERE text NOT IN (SELECT text FROM cached)""",
   SELECT text, lower(text) AS r FROM (SELECT DISTINCT text FROM conversations))""",
     "model_answers": f"""SELECT conv_id, turn, {_intent_of('text')} AS intent, 'high' AS confidence,
   CAST(greatest(1, least(5, length(text) % 7)) AS INTEGER) AS score FROM conversations""",
+    "cached_run": f"""WITH r AS (SELECT conv_id, turn, {_intent_of('text')} AS intent,
+  text IN (SELECT text FROM conversations WHERE role = 'user') AS stored FROM conversations)
+SELECT conv_id, turn, intent, CASE WHEN stored THEN intent ELSE 'new ' || intent END AS reason, stored FROM r""",
     "ablation": f"""WITH {_GOLDEN},
 {_mode("(earlier || 'Message:' || chr(10) || customer_text)", 'w')},
 {_mode("('Message:' || chr(10) || customer_text)", 'o')}

@@ -186,3 +186,49 @@ def test_judge_calibration(spark):
     assert ev.judge_calibration(rated.limit(0), model).first()["judge_calibration_n"] == 0
     preds = rated.withColumn("pred_reply", F.lit("r"))
     assert ev.judge_mean(preds, model).first()[0] == 4.0
+
+
+def test_look_ups_read_the_folders_of_their_keys(spark, tmp_path):
+    table = inf.ResponseTable(spark, str(tmp_path / "r"))
+    assert table.version() == 0 and table.read().count() == 0
+    keys = [f"{i:02x}" + "0" * 62 for i in range(40)]
+    table.append(spark.createDataFrame([(k, "b") for k in keys], "key string, response string"))
+    table.append(spark.createDataFrame([(keys[0], "a"), (keys[1], "c")], "key string, response string"))
+    asked = spark.createDataFrame([(keys[0],), (keys[1],), ("ff" + "0" * 62,)], "key string")
+    rows = table.read(asked)
+    assert sorted(map(tuple, rows.collect())) == [(keys[0], "a"), (keys[0], "b"), (keys[1], "b"), (keys[1], "c")]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "prefix" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    table.compact()
+    assert table.version() == 2 and table.read().count() == 40
+    assert dict(map(tuple, table.read(asked).collect())) == {keys[0]: "a", keys[1]: "b"}
+    assert len(list((tmp_path / "r" / "version=2").glob("prefix=*/*.parquet"))) == 40
+
+
+def test_a_lost_run_resumes_behind_its_last_commit(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(f"prompt {i}",) for i in range(60)], "text string")
+    table, log = inf.ResponseTable(spark, str(tmp_path / "r")), tmp_path / "asked"
+    path = str(log)
+
+    def respond(prompts, call):
+        with open(path, "a") as file:
+            file.writelines(f"{p}\n" for p in prompts)
+        return [p.upper() for p in prompts]
+
+    call_model, parts = inf.call_model, []
+
+    def lost(*args, **options):
+        parts.append(1)
+        if len(parts) == 3:
+            raise RuntimeError("driver lost")
+        return call_model(*args, **options)
+
+    monkeypatch.setattr(inf, "call_model", lost)
+    with pytest.raises(RuntimeError):
+        inf.answer(rows, "text", respond, cache=table, commit_rows=10)
+    committed = table.read().count()
+    assert 0 < committed < 60 and len(log.read_text().splitlines()) == committed
+    got = inf.answer(rows, "text", respond, cache=table, commit_rows=10).collect()
+    assert sorted(r.answer for r in got) == sorted(f"PROMPT {i}" for i in range(60))
+    asked = log.read_text().splitlines()
+    assert len(asked) == 60 and len(set(asked)) == 60

@@ -39,7 +39,7 @@ from colloquy.plans.conversation_graph import BRAND, conversation_graph
 from colloquy.plans.prompts import Templates
 from colloquy.session import materialise, scratch_path, spread
 from colloquy.sources import tables as tb
-from colloquy.streaming.live import label_messages
+from colloquy.streaming.live import label_messages, live_buffer, run_until_idle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,6 +145,19 @@ def rolling6(spark, sf_dir):
     return rows.select("conv_id", "turn", F.array_join(held, "\n").alias("buffer"))
 
 
+def live_rolling6(spark, sf_dir):
+    """The same buffer kept as state of a stream that runs until its input is used up."""
+    table = conversations(spark, sf_dir)
+    turns = spark.readStream.schema(table.schema).option(
+        "pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    out, marks = scratch_path(spark, "buffers"), scratch_path(spark, "buffer-marks")
+    rows = live_buffer(turns)
+    run_until_idle(rows, out, marks)
+    held = F.transform("buffer", lambda t: F.concat_ws(":", t["role"], t["text"]))
+    return spark.read.schema(rows.schema).parquet(out).select(
+        "conv_id", "turn", F.array_join(held, "\n").alias("buffer"))
+
+
 def thread_preview(spark, sf_dir):
     return sp.preview(_threads(spark, sf_dir), "thread_id", "customer_text", "brand_reply")
 
@@ -652,7 +665,8 @@ def train_report(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     thread_table, threads_stitch, first_reply, threads_context, escalation_totals,
-    context_share, pool_sizes, context_blocks, rolling6, thread_preview,
+    context_share, pool_sizes, context_blocks, rolling6, live_rolling6,
+    thread_preview,
     tweet_csv, thread_csv, prediction_table, vector_table, live_labels,
     redact_clean, rule_label, rule_histogram, keyword_decision, resolve_labels, rating_parse,
     stratified_sample, random_slice, golden_sample, stratified_split, batch_cap, unlabelled,

@@ -559,3 +559,4 @@ top AS (SELECT lang FROM split WHERE split = 'train' GROUP BY lang ORDER BY coun
 SELECT doc_id AS thread_id, (SELECT lang FROM top) AS intent, 'high' AS confidence,
   '{CANNED_REPLY}' AS reply, 'auto' AS decision, '{CONSTANT_REASON}' AS reason FROM documents""",
 }
+ORACLES["live_rolling6"] = ORACLES["rolling6"]

@@ -5,10 +5,8 @@ from oracle_check import compare
 
 import __spark_entry__ as entry
 
-SLOW = {"tfidf_nn_other"}  # covered by brute force and at the next scale
 
-
-@pytest.mark.parametrize("name", [q for q in entry.queries() if q not in SLOW])
+@pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, sf_dir, name):
     assert compare(spark, name, sf_dir) is None
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 
 from colloquy.llm import suffix_array as sa
 from colloquy.llm.common import ROW
+from colloquy.llm import suffix_dedup
 from colloquy.llm.suffix_dedup import remove_repeated_bytes, repeated_windows
 
 SCHEMA = "doc_id long, text string, tie string, batch int, spans string"
@@ -95,6 +97,66 @@ def test_against_rule(spark, seed, batch_bytes):
     assert sorted(got, key=str) == brute(rows, 24)
 
 
+@pytest.mark.parametrize("hot_bytes,long_segment", [(0, 10_000), (60, 10_000), (400, 60)])
+def test_hot_keys_against_rule(spark, hot_bytes, long_segment):
+    """All, many and few keys are hot; the result is the same."""
+    rows = corpus(3)
+    docs = spark.createDataFrame([(d, t, "x", 1, "y") for d, t in rows], SCHEMA).repartition(5)
+    out = remove_repeated_bytes(docs, width=24, anchor=8, batch_bytes=400, shard_bytes=800,
+                                hot_bytes=hot_bytes, long_segment=long_segment)
+    got = [(r[ROW].doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest())
+           for r in out.collect()]
+    assert sorted(got, key=str) == brute(rows, 24)
+
+
+def shared_line(n):
+    """A third of the texts share a line of 220 bytes between different neighbours."""
+    rng = random.Random(7)
+    word = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=k))
+    line = word(220)
+    return [(i, word(300) + (line if i % 3 == 0 else word(20)) + word(300)) for i in range(n)]
+
+
+def test_hot_line_is_split(spark, tmp_path, monkeypatch):
+    rows = shared_line(1500)
+    limit = 20_000
+    plain = suffix_dedup._suffixes
+
+    def watched(folder):
+        def wrapped(width):
+            run = plain(width)
+
+            def seen(table):
+                size = sum(len(v) for c in ("segment", "windows") for v in table[c].drop_null().to_pylist())
+                (folder / f"{table['shard'][0].as_py()}-{size}").touch()
+                return run(table)
+            return seen
+        return wrapped
+
+    docs = spark.createDataFrame([(d, t, "x", 1, "y") for d, t in rows], SCHEMA)
+    sizes = {}
+    for hot in (limit, 1 << 30):
+        folder = tmp_path / str(hot)
+        folder.mkdir()
+        monkeypatch.setattr(suffix_dedup, "_suffixes", watched(folder))
+        out = remove_repeated_bytes(docs, batch_bytes=50_000, shard_bytes=50_000, hot_bytes=hot)
+        got = [(r[ROW].doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest())
+               for r in out.collect()]
+        assert sorted(got, key=str) == brute(rows, 200)
+        sizes[hot] = max(int(f.name.split("-")[1]) for f in folder.iterdir())
+    print(sizes)
+    assert sizes[1 << 30] > 150_000 and sizes[limit] < sizes[1 << 30] / 2
+
+
+def test_long_run_of_one_letter(spark):
+    began = time.monotonic()
+    docs = spark.createDataFrame([(1, "a" * 10_000_000, "x", 1, "y"), (2, "ab" * 1_000_000, "x", 1, "y"),
+                                  (3, "a" * 199, "x", 1, "y")], SCHEMA)
+    got = {r[ROW].doc_id: (r.n_removed, len(r.spans)) for r in remove_repeated_bytes(docs).collect()}
+    assert got == {1: (10_000_000, 1), 2: (2_000_000, 1), 3: (0, 0)}
+    assert time.monotonic() - began < 60
+
+
 def test_empty(spark):
     assert remove_repeated_bytes(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -165,12 +165,25 @@ def _joined(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.drop_null().to_pylist()), "<u8")
 
 
+def segment_windows(data: np.ndarray, start: np.ndarray, count: np.ndarray,
+                    width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of segments start, and their hashes; other bytes are not hashed."""
+    length = count + width - 1
+    begin = np.cumsum(length) - length
+    at = np.repeat(start - begin, length) + np.arange(length.sum())
+    own = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+    return at[own], window_hashes(data[at], width)[own]
+
+
 def _hot_windows(found: Segments, hot: np.ndarray, batch: int, shards: int) -> pa.Table:
-    """The different windows under hot keys, a window with two places or more twice."""
+    """The different windows under hot keys, a window with two places or more twice.
+
+    One more row says where the segments are (start and number of windows) and comes back to
+    the batch as it is.
+    """
     where = np.flatnonzero(np.isin(found.keys, hot))
-    count = found.count[where]
-    at = np.repeat(found.start[where] - np.cumsum(count) + count, count) + np.arange(count.sum())
-    pairs = window_hashes(found.data, found.width)[at]
+    start, count = found.start[where], found.count[where]
+    _, pairs = segment_windows(found.data, start, count, found.width)
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     same = np.zeros(len(pairs) + 1, dtype=bool)
     same[1:-1] = (pairs[1:] == pairs[:-1]).all(axis=1)
@@ -181,9 +194,12 @@ def _hot_windows(found: Segments, hot: np.ndarray, batch: int, shards: int) -> p
     order = np.argsort(shard, kind="stable")
     pairs, shard = pairs[order], shard[order]
     edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
-    return pa.table({"shard": pa.array(shard[edges[:-1]], pa.int64()),
-                     "batch": pa.array([batch] * (len(edges) - 1), pa.int64()),
-                     "windows": _blobs(pairs, edges)})
+    windows = _blobs(pairs, edges)
+    return pa.table({"shard": pa.array([*shard[edges[:-1]], batch % shards], pa.int64()),
+                     "batch": pa.array([batch] * len(edges), pa.int64()),
+                     "at": pa.array([*[None] * len(windows), np.stack([start, count]).astype("<i8").tobytes()],
+                                    pa.binary()),
+                     "windows": pa.concat_arrays([windows, pa.array([b""], pa.binary())])})
 
 
 def _repeated_hot(table: pa.Table) -> pa.Table:
@@ -283,31 +299,30 @@ def _suffixes(width: int):
         plain = table.filter(pc.is_null(table["windows"]))
         if not len(hot):
             return segments(plain)
-        told = _repeated_hot(hot)
-        empty = pa.nulls(len(told), pa.binary())
-        told = pa.table({"batch": told["batch"], "rows": empty, "at": empty, "flags": empty,
-                         "windows": told["windows"]})
+        told, places = _repeated_hot(hot), hot.filter(pc.is_valid(hot["at"]))
+        empty, blank = pa.nulls(len(told), pa.binary()), pa.nulls(len(places), pa.binary())
+        told = pa.concat_tables([
+            pa.table({"batch": told["batch"], "rows": empty, "at": empty, "flags": empty,
+                      "windows": told["windows"]}),
+            pa.table({"batch": places["batch"], "rows": blank, "at": places["at"], "flags": blank,
+                      "windows": places["windows"]})])
         return pa.concat_tables([segments(plain), told]) if len(plain) else told
     return run
 
 
-def windows_among(data: np.ndarray, offsets: np.ndarray, width: int, pairs: np.ndarray) -> np.ndarray:
-    """Where the windows inside one text start whose two hashes are among ``pairs``."""
-    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    inside = np.flatnonzero(text[:len(data) - width + 1] == text[width - 1:])
-    own = window_hashes(data, width)[inside]
+def among(own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Which rows of two hashes are among ``pairs``."""
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    # Pairs are told apart by the first hash but for chance; equal first hashes are looked at one by one.
     left = np.searchsorted(pairs[:, 0], own[:, 0])
     hit = np.zeros(len(own), dtype=bool)
-    open_ = np.arange(len(own))
-    while len(open_):
-        open_ = open_[left[open_] < len(pairs)]
-        open_ = open_[pairs[left[open_], 0] == own[open_, 0]]
-        hit[open_] |= pairs[left[open_], 1] == own[open_, 1]
-        left[open_] += 1
-        open_ = open_[~hit[open_]]
-    return inside[hit]
+    rest = np.arange(len(own))
+    while len(rest):  # a second round only where two pairs agree in the first hash
+        rest = rest[left[rest] < len(pairs)]
+        rest = rest[pairs[left[rest], 0] == own[rest, 0]]
+        hit[rest] = pairs[left[rest], 1] == own[rest, 1]
+        left[rest] += 1
+        rest = rest[~hit[rest]]
+    return hit
 
 
 def _remove(width: int):
@@ -317,7 +332,10 @@ def _remove(width: int):
         step = np.zeros(len(data) + 1, dtype=np.int32)
         hot = _joined(lists["windows"]).reshape(-1, 2)
         if len(hot):
-            starts = windows_among(data, offsets, width, hot)
+            places = lists.filter(pc.is_valid(lists["windows"]))["at"]
+            start, count = _joined(places).view("<i8").reshape(2, -1)
+            starts, own = segment_windows(data, start, count, width)
+            starts = starts[among(own, hot)]
             np.add.at(step, starts, 1)
             np.add.at(step, starts + width, -1)
         lists = lists.filter(pc.is_null(lists["windows"]))

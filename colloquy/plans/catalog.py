@@ -22,13 +22,13 @@ from colloquy.operators import metrics as mt
 from colloquy.operators import sampling as sp
 from colloquy.operators import tfidf
 from colloquy.operators import threads as th
-from colloquy.operators.classifier import train_and_report, train_classifier
+from colloquy.operators.classifier import TextClassifier, train_and_report, train_classifier
 from colloquy.operators.embedding import embed, letter_counts
 from colloquy.operators.grounding import grounding_scores
 from colloquy.operators.inference import (Call, ResponseTable, answer, cache_stats, lookup,
                                           request_key)
 from colloquy.operators.plane_buckets import approximate_topk, recall_against
-from colloquy.operators.predictors import constant_predictor, simple_predictor
+from colloquy.operators.predictors import constant_predictor, predict_batch, simple_predictor
 from colloquy.operators.sparse_neighbours import nearest_text
 from colloquy.operators.turns import rolling_buffer
 from colloquy.operators.vector_store import stored_topk, write_cells
@@ -36,6 +36,7 @@ from colloquy.operators.vector_topk import vector_topk
 from colloquy.plans import evaluation as ev
 from colloquy.plans.agent import classify_prompt, decide_prompt, draft_prompt, run_agent
 from colloquy.plans.conversation_graph import BRAND, conversation_graph
+from colloquy.plans.golden import golden_set
 from colloquy.plans.prompts import Templates
 from colloquy.session import materialise, scratch_path, spread
 from colloquy.sources import tables as tb
@@ -183,6 +184,26 @@ def thread_csv(spark, sf_dir):
         "escalated")
 
 
+def context_scan(spark, sf_dir):
+    """Threads stored, and only their ids and prior turns read back."""
+    path = scratch_path(spark, "threads")
+    tb.write_threads(_threads(spark, sf_dir), path)
+    return tb.read_contexts(spark, path).select(
+        "thread_id", F.size("prior_context").cast("long").alias("n_context"))
+
+
+def labelled_scan(spark, sf_dir):
+    """Documents with some blank labels written as CSV; the labelled ones read back as text."""
+    path = scratch_path(spark, "labelled")
+    rows = spread(documents(spark, sf_dir)).select(
+        "doc_id", F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "  ")
+        .otherwise(F.col("lang")).alias("intent"),
+        F.when(F.col("n_chars") % 2 == 0, F.col("source")).alias("source"), "text")
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return tb.read_labelled(tb.read_strings_csv(spark, path, rows.schema)).select(
+        "doc_id", "intent", "source", F.length("text").cast("long").alias("n_text"))
+
+
 def prediction_table(spark, sf_dir):
     """Two systems' predictions, one folder each, counted from the folders."""
     path = scratch_path(spark, "predictions")
@@ -275,6 +296,20 @@ def golden_sample(spark, sf_dir):
     return sp.golden_sample(rows, "label", "doc_id", SEED).select("doc_id", "suggested_intent")
 
 
+def golden_table(spark, sf_dir):
+    """A sample for labelling with blank columns, stored; its split stored by part and read back."""
+    path, parts = scratch_path(spark, "golden"), scratch_path(spark, "golden-split")
+    threads = spread(documents(spark, sf_dir)).select(
+        F.col("doc_id").alias("thread_id"), tx.clean(F.col("text")).alias("customer_text"),
+        F.col("source").alias("brand_reply"), (F.col("n_chars") % 2 == 0).alias("escalated"))
+    tb.write_golden(golden_set(threads, LANGUAGE_RULES, SEED), path)
+    golden = spark.read.parquet(path)
+    split = sp.stratified_split(golden.select("thread_id", "suggested_intent"), "suggested_intent",
+                                "thread_id", SEED)
+    tb.write_split(split, parts)
+    return golden.join(spark.read.parquet(parts).select("thread_id", "split"), "thread_id")
+
+
 def stratified_split(spark, sf_dir):
     return sp.stratified_split(labels(spark, sf_dir), "quality", "doc_id", SEED).select(
         "doc_id", "quality", "split")
@@ -653,6 +688,63 @@ def trivial_predict(spark, sf_dir):
     return constant_predictor(top["intent"] if top else None)(rows).drop("customer_text")
 
 
+def _rule_predictor(df: DataFrame) -> DataFrame:
+    """Labels by language rules and decisions by keyword; no reply."""
+    decision, reason = rl.escalation_by_keyword(tx.clean(F.col("customer_text")), FLAG_WORDS)
+    return df.select(
+        "thread_id", "customer_text",
+        F.coalesce(_language_label(F.col("customer_text")), F.lit("other")).alias("intent"),
+        F.lit("medium").alias("confidence"), F.lit(None).cast("string").alias("reply"),
+        decision.alias("decision"), reason.alias("reason"))
+
+
+def batch_predict(spark, sf_dir):
+    """The system named ``rules`` over all rows with a text."""
+    rows = spread(_messages(spark, sf_dir))
+    return predict_batch(rows, {"rules": _rule_predictor}, "rules").select(
+        "thread_id", "intent", "confidence", "reply", "decision")
+
+
+def _evaluated(spark, sf_dir) -> DataFrame:
+    """Two named systems over all labelled rows, stored by system and read back."""
+    truth = labels(spark, sf_dir).select(
+        F.col("doc_id").alias("thread_id"),
+        F.when(F.col("toxic") == 1, "yes").otherwise("no").alias("should_escalate"))
+    rows = ev.evaluation_rows(spread(_messages(spark, sf_dir)).join(truth, "thread_id", "left").withColumn(
+        "reply_quality", F.lit(None).cast("string")))
+    top = lb.majority(rows, "intent").first()
+    systems = {"rules": _rule_predictor, "trivial": constant_predictor(top["intent"] if top else None)}
+    path = scratch_path(spark, "runs")
+    for name in systems:
+        tb.write_predictions(ev.run_system(name, systems, rows), path)
+    return spark.read.parquet(path)
+
+
+def evaluation_predictions(spark, sf_dir):
+    """What each system said of each row, with defaults where it said nothing."""
+    return _evaluated(spark, sf_dir).select(
+        "system", "thread_id", "true_intent", "true_escalate", "pred_intent", "pred_decision", "pred_reply")
+
+
+def evaluation_run(spark, sf_dir):
+    """Scores of the stored runs, written as JSON and read back."""
+    scores, path = ev.score_systems(_evaluated(spark, sf_dir)), scratch_path(spark, "metrics")
+    tb.write_metrics(scores, path)
+    read = spark.read.schema(scores.schema).json(path)
+    return _rounded(read, *[c for c in read.columns if c != "system"])
+
+
+def saved_model(spark, sf_dir):
+    """A trained classifier saved and loaded: rows that both label, and rows labelled alike."""
+    rows, path = spread(_messages(spark, sf_dir)), scratch_path(spark, "model")
+    model = train_classifier(rows)
+    model.save(path)
+    asked = rows.select("thread_id", "customer_text")
+    both = TextClassifier.load(spark, path).predict(model.predict(asked, "fitted"), "loaded")
+    return both.agg(F.count("*").alias("n"), F.count_if(
+        F.col("fitted").isNotNull() & (F.col("fitted") == F.col("loaded"))).alias("n_alike"))
+
+
 def simple_predict(spark, sf_dir):
     rows = spread(_messages(spark, sf_dir))
     return simple_predictor(train_classifier(rows), rows, exclude_self=True)(rows).drop("customer_text")
@@ -667,9 +759,9 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     thread_table, threads_stitch, first_reply, threads_context, escalation_totals,
     context_share, pool_sizes, context_blocks, rolling6, live_rolling6,
     thread_preview,
-    tweet_csv, thread_csv, prediction_table, vector_table, live_labels,
+    tweet_csv, thread_csv, context_scan, labelled_scan, prediction_table, vector_table, live_labels,
     redact_clean, rule_label, rule_histogram, keyword_decision, resolve_labels, rating_parse,
-    stratified_sample, random_slice, golden_sample, stratified_split, batch_cap, unlabelled,
+    stratified_sample, random_slice, golden_sample, golden_table, stratified_split, batch_cap, unlabelled,
     label_progress, append_labels,
     confusion, class_report, intent_metrics, error_listing, binary_metrics, rate_by_class,
     kappa, pearson, rater_offset, systems_scores, systems_summary,
@@ -679,5 +771,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     prompt_build, parse_classify, parse_decision, parse_judge, cache_keys, cache_lookup,
     model_cache_stats, model_answers, cached_run, ablation, judge_scores, judge_calibration, judge_mean,
     agent_batch,
-    trivial_predict, simple_predict, train_report,
+    trivial_predict, batch_predict, evaluation_predictions, evaluation_run,
+    simple_predict, saved_model, train_report,
 )}

@@ -560,3 +560,36 @@ SELECT doc_id AS thread_id, (SELECT lang FROM top) AS intent, 'high' AS confiden
   '{CANNED_REPLY}' AS reply, 'auto' AS decision, '{CONSTANT_REASON}' AS reason FROM documents""",
 }
 ORACLES["live_rolling6"] = ORACLES["rolling6"]
+ORACLES["evaluation_run"] = ORACLES["systems_scores"]
+ORACLES["context_scan"] = f"SELECT thread_id, n_context FROM ({ORACLES['thread_table']})"
+ORACLES["labelled_scan"] = """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang AS intent,
+  CASE WHEN n_chars % 2 = 0 THEN coalesce(source, '') ELSE '' END AS source, length(text) AS n_text
+FROM documents WHERE doc_id % 3 = 2 AND trim(lang) <> ''"""
+ORACLES["golden_table"] = f"""WITH usable AS (
+  SELECT *, {_clean('text')} AS cleaned, {_language('text')} AS label FROM documents
+  WHERE text IS NOT NULL AND source IS NOT NULL),
+picked AS (SELECT doc_id, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY label
+    ORDER BY md5('7|' || CAST(doc_id AS VARCHAR)), doc_id) AS place
+  FROM usable WHERE label IS NOT NULL) WHERE place <= 22),
+slice AS (SELECT doc_id, label FROM usable WHERE doc_id NOT IN (SELECT doc_id FROM picked)
+  ORDER BY md5('8|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 24),
+golden AS (SELECT doc_id, coalesce(label, 'other') AS suggested_intent
+  FROM (SELECT * FROM picked UNION ALL SELECT * FROM slice)),
+{_split('golden', 'suggested_intent', 'doc_id')}
+SELECT doc_id AS thread_id, cleaned AS customer_text, source AS brand_reply, split.suggested_intent,
+  n_chars % 2 = 0 AS escalated, CAST(NULL AS VARCHAR) AS intent, CAST(NULL AS VARCHAR) AS should_escalate,
+  CAST(NULL AS VARCHAR) AS reply_quality, split.split AS split
+FROM split JOIN usable USING (doc_id)"""
+ORACLES["batch_predict"] = f"""SELECT doc_id AS thread_id, coalesce({_language('text')}, 'other') AS intent,
+  'medium' AS confidence, CAST(NULL AS VARCHAR) AS reply,
+  CASE WHEN {_flag('text')} THEN 'escalate' ELSE 'auto' END AS decision
+FROM documents WHERE text <> ''"""
+ORACLES["evaluation_predictions"] = f"""WITH {_DOCS}, {_FLAGGED},
+top AS (SELECT lang FROM documents GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1)
+SELECT 'rules' AS system, f.doc_id AS thread_id, f.lang AS true_intent, f.truth AS true_escalate,
+  d.pred AS pred_intent, f.decision AS pred_decision, '' AS pred_reply
+FROM flagged f JOIN docs d USING (doc_id)
+UNION ALL
+SELECT 'trivial', doc_id, lang, truth, (SELECT lang FROM top), 'auto', '{CANNED_REPLY}' FROM flagged"""
+ORACLES["saved_model"] = "SELECT count(*) AS n, count(*) AS n_alike FROM documents"

@@ -3,8 +3,11 @@
 Entities are the values that the patterns find. A term near an entity tells about it as far as
 the corpus shows them together: with N different texts, the entity in n_e, the term in n_t and
 the term near the entity in n_et, the term reveals log(N n_et / (n_e n_t)) of the entity's
-log(N / n_e). Terms that reveal at least ``share`` of it are generalised, terms that reveal
-all of it are removed, wherever they stand near that entity. Copies of a text count once.
+log(N / n_e). Few meetings may be chance, so that part is discounted by n_et / (n_et + 1). As
+most entities stand in one text or two, evidence is also pooled: every entity belongs to a pool
+(mail domain, network, card issuer, phone prefix), which is scored like an entity. Terms that
+reveal at least ``share`` of an entity or of its pool are generalised, terms that reveal ``remove``
+of it are removed, wherever they stand near that entity. Copies of a text count once.
 
 Nulls: a null text is empty; null and repeated ids are rows like any other. Spans are code
 points, end exclusive. An empty table stays empty.
@@ -20,7 +23,7 @@ from itertools import accumulate, islice
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +45,7 @@ KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 200  # code points on either side of an entity
 MIN_TEXTS = 1  # different texts in which a term must stand near an entity: all of them count
 SHARE = 0.75
+REMOVE = 0.9
 MENTIONS = 50_000  # mentions that the scan of texts holds at a time
 
 Span = tuple[int, int]
@@ -107,6 +111,21 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{plain}"
 
 
+def pool(name: Column) -> Column:
+    """The pool of an entity: mail domain, first half of an ip, issuer digits, phone prefix."""
+    kind, value = F.split_part(name, F.lit(":"), F.lit(1)), F.substr(name, F.instr(name, ":") + 1)
+    return (F.when(kind == "email", F.concat(F.lit("email:@"), F.substring_index(value, "@", -1)))
+            .when(kind == "ip", F.concat(F.lit("ip:"), F.substring_index(value, ".", 2), F.lit(".")))
+            .when(kind == "card", F.concat(F.lit("card:"), F.substring(value, 1, 6), F.lit("-")))
+            .otherwise(F.concat(F.lit("phone:"), F.substring(value, 1, 4), F.lit("-"))))
+
+
+def with_pools(mentions: DataFrame) -> DataFrame:
+    """Every mention under its entity and once more under the pool of it."""
+    both = F.explode(F.array("entity", pool(F.col("entity"))))
+    return mentions.select(*[c for c in mentions.columns if c != "entity"], both.alias("entity"))
+
+
 def near_terms(text: str, span: Span, context: int) -> Iterator[Span]:
     """Whole terms within ``context`` code points of a span."""
     for a, b in ((max(0, span[0] - context), span[0]), (span[1], min(len(text), span[1] + context))):
@@ -183,15 +202,17 @@ def term_counts(texts: DataFrame, text_col: str) -> DataFrame:
 
 
 def disclosing_terms(mentions: DataFrame, texts: DataFrame, text_col: str, n_texts: int, *,
-                     min_texts: int, share: float) -> DataFrame:
-    """(entity, term, kind) of the terms that reveal too much.
+                     min_texts: int, share: float, remove: float) -> DataFrame:
+    """(entity, term, kind) of the terms that reveal too much of an entity or pool.
 
     ``mentions`` has (entity, term, text_id). Every pair that meets in ``min_texts`` different
-    texts is scored.
+    texts is scored. No pair reveals more than the discount n_et / (n_et + 1), so those that
+    cannot reach ``share`` are left out before the joins.
     """
     met = mentions.select("entity", "term", "text_id").distinct()
+    sure = F.col("n_et") / (F.col("n_et") + 1)
     pairs = materialise(met.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-                        .where(F.col("n_et") >= min_texts), "near-pairs")
+                        .where((F.col("n_et") >= min_texts) & (sure >= share - 1e-9)), "near-pairs")
     # Both sides of each join are read from files, so that a hot entity or term can be split.
     entities = materialise(mentions.select("entity", "text_id").distinct().groupBy("entity").agg(
         F.count("*").alias("n_e")), "entities")
@@ -200,14 +221,16 @@ def disclosing_terms(mentions: DataFrame, texts: DataFrame, text_col: str, n_tex
     n = F.lit(float(n_texts))
     revealed = F.log(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     whole = F.log(n / F.col("n_e"))
+    part = sure * revealed / whole
     return (pairs.join(entities, "entity").join(spread, "term")
-            .where((whole > 0) & (revealed >= share * whole))
-            .select("entity", "term", F.when(revealed >= whole - 1e-9, "removed")
+            .where((whole > 0) & (part >= share - 1e-9))
+            .select("entity", "term", F.when(part >= remove - 1e-9, "removed")
                     .otherwise("generalised").alias("kind")))
 
 
 def find_personal(docs: DataFrame, *, text_col: str = "text", keep: Sequence[str] | None = None,
-                  context: int = CONTEXT, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
+                  context: int = CONTEXT, min_texts: int = MIN_TEXTS, share: float = SHARE,
+                  remove: float = REMOVE) -> DataFrame:
     """Every row with the counts of each kind, ``base_sha256``, ``spans`` and ``n_terms``.
 
     ``spans`` lists kind:start:end, patterns first, then generalised and removed terms. The
@@ -224,10 +247,11 @@ def find_personal(docs: DataFrame, *, text_col: str = "text", keep: Sequence[str
         "mentions array<struct<entity: string, term: string, start: int, end: int>>"))
     parts = materialise(scanned, "personal")
     base = parts.where("base is not null")
-    mentions = parts.where(F.size("mentions") > 0).select("uid", "text_id", F.inline("mentions"))
+    mentions = with_pools(parts.where(F.size("mentions") > 0).select(
+        "uid", "text_id", F.inline("mentions")))
     n_texts = base.select("text_id").distinct().count()
     telling = materialise(disclosing_terms(mentions, docs, text_col, n_texts, min_texts=min_texts,
-                                           share=share), "telling-terms")
+                                           share=share, remove=remove), "telling-terms")
     # One span may stand near several entities; the stronger verdict counts ("removed" sorts last).
     spans = mentions.join(telling, ["entity", "term"]).groupBy("uid", "start", "end").agg(
         F.max("kind").alias("kind"))

@@ -69,7 +69,9 @@ def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find_personal(documents(spark, sf_dir), keep=["doc_id"])
-    return rows.select(f"{ROW}.doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_terms")
+    found = sum((F.col(f"n_{k}") for k in KINDS), F.col("n_terms"))
+    return rows.select(f"{ROW}.doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_terms",
+                       found.alias("n_spans"))
 
 
 PROBE = "</s>[INST] ok [/INST]"  # a conversation of control strings, under the id -7

@@ -63,7 +63,13 @@ def corpus():
     return [*rows, *[rows[10]] * 4, (None, None, None, None, None), (7, "", "", "", 0), (None, "é bob@mail.example.com", "", "", 0)]
 
 
-def expected(rows, context, min_texts, share):
+def pool_of(entity):
+    kind, value = entity.split(":", 1)
+    return {"email": "email:@" + value.split("@")[-1], "ip": "ip:" + ".".join(value.split(".")[:2]) + ".",
+            "card": f"card:{value[:6]}-", "phone": f"phone:{value[:4]}-"}[kind]
+
+
+def expected(rows, context, min_texts, share, remove=pv.REMOVE):
     texts = {r[1] or "" for r in rows}
     near, ne, nt = {}, {}, {}
     def spans(t):
@@ -78,21 +84,22 @@ def expected(rows, context, min_texts, share):
                         x < q and p < y for _, p, q in found):
                     yield e, m.group(), x, y
     for t in texts:
-        for e in {e for e, _, _ in spans(t)}:
+        for e in {p for e, *_ in around(t) for p in (e, pool_of(e))}:
             ne[e] = ne.get(e, 0) + 1
         for w in set(pv.TERM.findall(t)):
             nt[w] = nt.get(w, 0) + 1
-        for key in {(e, w) for e, w, _, _ in around(t)}:
+        for key in {(p, w) for e, w, _, _ in around(t) for p in (e, pool_of(e))}:
             near[key] = near.get(key, 0) + 1
     out = []
     for d, t, *_ in rows:
         t = t or ""
         kinds = {}
-        for e, w, x, y in around(t):
+        for e, w, x, y in ((p, *rest) for e, *rest in around(t) for p in (e, pool_of(e))):
             n, whole = near[e, w], math.log(len(texts) / ne[e])
-            got = math.log(len(texts) * n / (ne[e] * nt[w]))
-            if n >= min_texts and got >= share * whole > 0:
-                kinds[x, y] = max(kinds.get((x, y), ""), "removed" if got >= whole - 1e-9 else "generalised")
+            got = math.log(len(texts) * n / (ne[e] * nt[w])) * n / (n + 1)
+            if n >= min_texts and whole > 0 and got / whole >= share - 1e-9:
+                kinds[x, y] = max(kinds.get((x, y), ""),
+                                  "removed" if got / whole >= remove - 1e-9 else "generalised")
         base = ",".join(f"{k}:{a}:{b}" for k, v in plain(t).items() for a, b in v)
         added = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted((k, a, b) for (a, b), k in kinds.items()))
         out.append((d, hashlib.sha256(base.encode()).hexdigest(), ",".join(x for x in (base, added) if x)))
@@ -110,12 +117,13 @@ def test_disclosing_terms(spark, context):
 
 
 def test_rare_entities(spark):
-    """An entity in one text, with copies of other texts, is judged like any other."""
+    """Entities in one text each are judged by their pool; one meeting alone shows nothing."""
     rows = [(i, f"all the w{i % 7} words", "", "", 1) for i in range(40)]
-    rows += [(50, "all the Zorro jane@mail.example.com rides", "", "", 1)]
+    rows += [(50 + i, f"all the Zorro a{i}@mail.example.com rides{i}", "", "", 1) for i in range(12)]
+    rows += [(70, "all the Quux a@other.example.com walks", "", "", 1)]
     found = pv.find_personal(spark.createDataFrame(rows, SCHEMA))
     got = {r.doc_id: (r.n_terms, r.spans) for r in found.select(f"{ROW}.doc_id", "n_terms", "spans").collect()}
-    assert got[50] == (2, "email:14:35,removed:8:13,removed:36:41")
+    assert got[50] == (1, "email:14:33,removed:8:13") and got[70] == (0, "email:13:32")
     assert {d: s for d, (_, s) in got.items()} == {d: s for d, _, s in expected(rows, 200, 1, pv.SHARE)}
 
 

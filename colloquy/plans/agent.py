@@ -73,7 +73,7 @@ def similar_cases(df: DataFrame, cases: DataFrame, *, k: int = EXAMPLES,
         shortened(F.col("customer_text"), templates.example_chars).alias("customer"),
         shortened(F.col("brand_reply"), templates.example_chars).alias("reply"))
     listed = (
-        hits.join(texts, "neighbour_id")
+        hits.join(texts.hint("merge"), "neighbour_id")  # texts outgrow their files in memory
         .groupBy(F.col("query_id").alias("thread_id"))
         .agg(F.array_sort(F.collect_list(
             F.struct("rank", "neighbour_id", "customer", "reply"))).alias("hits"))

@@ -99,10 +99,10 @@ def reply_edges(tweets: DataFrame, brand: str, expand_responses: bool = False) -
 def _four_hops(edges: DataFrame) -> DataFrame:
     """``(node, n1, n2, n3, n4)``: the next four nodes, null past the end of a chain."""
     one = edges.select("node", F.col("next").alias("n1"))
-    two = one.join(one.select(F.col("node").alias("n1"), F.col("n1").alias("n2")), "n1", "left")
+    two = one.join(one.select(F.col("node").alias("n1"), F.col("n1").alias("n2")).hint("merge"), "n1", "left")
     onward = two.select(
         F.col("node").alias("n2"), F.col("n1").alias("n3"), F.col("n2").alias("n4"))
-    return two.join(onward, "n2", "left").select("node", "n1", "n2", "n3", "n4")
+    return two.join(onward.hint("merge"), "n2", "left").select("node", "n1", "n2", "n3", "n4")
 
 
 def follow(starts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -111,7 +111,8 @@ def follow(starts: DataFrame, edges: DataFrame) -> DataFrame:
     Each round makes the known part of every chain four times as long, so a chain of n
     nodes takes log4(n) rounds. A node counts at its first position only, which ends
     cycles and self-loops. Each round is written out, which keeps the plan short and
-    survives lost executors.
+    survives lost executors. Ids shrink far in files, so the planner is kept from
+    broadcasting by file size.
     """
     reached = starts.select("start", F.lit(0).alias("pos"), F.col("start").alias("node"))
     known, step = None, 1
@@ -120,7 +121,7 @@ def follow(starts: DataFrame, edges: DataFrame) -> DataFrame:
         later = F.array(*[
             F.struct((F.col("pos") + k * step).alias("pos"), F.col(f"n{k}").alias("node"))
             for k in (1, 2, 3)])
-        onward = reached.join(hops, "node").select("start", F.inline(later)).where(
+        onward = reached.join(hops.hint("merge"), "node").select("start", F.inline(later)).where(
             "node is not null")
         reached = materialise(
             reached.unionByName(onward).groupBy("start", "node").agg(F.min("pos").alias("pos")),
@@ -146,7 +147,7 @@ def stitched_replies(
 
     edges = materialise(reply_edges(tweets, brand, expand_responses), "edges")
     starts = replies.select(F.col("reply_id").alias("start")).join(
-        edges.select(F.col("node").alias("start")), "start", "left_semi")
+        edges.select(F.col("node").alias("start")).hint("merge"), "start", "left_semi")
     chains = follow(starts, edges).where("pos > 0")
     texts = brand_tweets(tweets, brand).select(F.col("tweet_id").alias("node"), "text")
     more = (

@@ -4,6 +4,7 @@ import pytest
 
 from colloquy.operators import threads as th
 from colloquy.schema import TWEETS
+from colloquy.session import materialise
 
 B = "shop"
 
@@ -121,3 +122,13 @@ def test_a_dated_reply_beats_one_without_a_readable_date(spark):
             tweet(9, B, "first", up=1, at="Wed Oct 11 06:55:44 +0000 2017")]
     assert build(spark, rows)["1"].brand_reply == "first"
     assert build(spark, rows[:3])["1"].brand_reply == "undated"
+
+
+def test_chains_are_never_broadcast(spark):
+    """Ids in a row take few bytes in a file and many in memory."""
+    edges = materialise(spark.range(3000).selectExpr("cast(id as string) as node", "cast(id + 1 as string) as next"),
+                        "edges")
+    plan = th._four_hops(edges)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    starts = edges.where("node = '2990'").select(edges.node.alias("start"))
+    assert {r.pos: r.node for r in th.follow(starts, edges).collect()} == {i: str(2990 + i) for i in range(11)}

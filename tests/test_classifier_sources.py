@@ -232,3 +232,42 @@ def test_tweet_schema_is_readable(spark, tmp_path):
     df = spark.createDataFrame([("1", "a", True, None, "t", None, None)], TWEETS)
     df.write.parquet(str(tmp_path / "t"))
     assert tb.read_tweets(spark, str(tmp_path / "t")).collect() == df.collect()
+
+
+def test_neither_terms_nor_weights_are_gathered(spark, monkeypatch):
+    """The driver sees a row per fitting row, class or task, however many terms there are, when fitting and when scoring."""
+    words = [f"{a}{b}" for a in "bcdfgh" for b in ("ala", "olo", "umu", "eke")]
+    rows = spark.createDataFrame(
+        [(str(i), " ".join(words[(i * j + j) % len(words)] for j in range(1, 40)), "xy"[i % 2]) for i in range(12)],
+        "thread_id string, customer_text string, intent string")
+    kind, gathered = type(rows), []
+    for name in ("collect", "toPandas"):
+        plain = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda df, plain=plain: gathered.append(plain(df)) or gathered[-1])
+    model = train_classifier(rows)
+    scored = model.predict(rows.select("thread_id", "customer_text"))
+    assert max(map(len, gathered)) <= 12 and model.fit.weights.shape == (12, 1)
+    monkeypatch.undo()
+    assert model.terms.count() > 100 and scored.count() == 12
+
+
+def test_blocks_hold_whole_terms(spark, monkeypatch):
+    monkeypatch.setattr(lg, "BLOCK_ROWS", 7)
+    want = {(f"t{t:02d}", row, 1 + (t + row) % 3) for t in range(20) for row in range(1 + t % 12)}
+    counts = spark.createDataFrame(sorted(want), "term string, row int, tf int").repartition(3)
+    blocks = lg.term_blocks(counts).collect()
+    got, places = [], []
+    for b in blocks:
+        weight, term, row, value = lg.read_block(b["at"], b["row"], b["tf"], lambda df: np.ones(len(df)))
+        got += [(b["term"][t], int(r), int(v)) for t, r, v in zip(term, row, value, strict=True)]
+        places += [(b["part"], b["first"] + i) for i in range(len(weight))]
+    assert sorted(got) == sorted(want) and len(set(places)) == len(places) == 20 and len(blocks) > 4
+    names = [t for b in blocks for t in b["term"]]
+    assert len(names) == len(set(names))
+
+
+def test_rows_of_no_known_term_and_limited_vocabulary(spark, labelled):
+    model = train_classifier(labelled.where("intent <> ' '"), max_features=3)
+    assert model.terms.count() == 3 and sorted(r["place"] for r in model.terms.collect()) == [0, 1, 2]
+    odd = spark.createDataFrame([("1", "zzz qqq"), ("1", None)], "thread_id string, customer_text string")
+    assert [r["scores"] for r in model.scored(odd).collect()] == [pytest.approx(model.intercepts)] * 2

@@ -271,3 +271,20 @@ def test_rows_of_no_known_term_and_limited_vocabulary(spark, labelled):
     assert model.terms.count() == 3 and sorted(r["place"] for r in model.terms.collect()) == [0, 1, 2]
     odd = spark.createDataFrame([("1", "zzz qqq"), ("1", None)], "thread_id string, customer_text string")
     assert [r["scores"] for r in model.scored(odd).collect()] == [pytest.approx(model.intercepts)] * 2
+
+
+def test_every_labelled_row_is_fitted(spark):
+    """More rows than once were drawn; the one row of the last class counts as well."""
+    n = 50_200
+    rows = spark.range(n).select(
+        F.col("id").cast("string").alias("thread_id"), F.concat(F.lit("word w"), F.col("id") % 7).alias("customer_text"),
+        F.when(F.col("id") == 77, "rare").when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("intent"))
+    model = train_classifier(rows.unionByName(rows.limit(1).withColumn("intent", F.lit(" "))), max_iter=1)
+    assert model.labels == ["even", "odd", "rare"] and model.fit.weights.shape == (n, 3)
+    assert model.terms.where("term = 'word'").first()["df"] == n
+
+
+def test_remembered_steps_lie_in_files():
+    x = lg._stored(lg.Span(np.arange(6.0).reshape(3, 2), np.ones(2), np.zeros((0, 2))))
+    assert isinstance(x.share.base, np.memmap) and np.array_equal(x.share, np.arange(6.0).reshape(3, 2))
+    assert x.score.shape == (0, 2)

@@ -288,3 +288,20 @@ def test_remembered_steps_lie_in_files():
     x = lg._stored(lg.Span(np.arange(6.0).reshape(3, 2), np.ones(2), np.zeros((0, 2))))
     assert isinstance(x.share.base, np.memmap) and np.array_equal(x.share, np.arange(6.0).reshape(3, 2))
     assert x.score.shape == (0, 2)
+
+
+def test_terms_are_sorted_by_one_number(spark, monkeypatch):
+    """A number alone is sorted without comparing terms; terms that share one still stay whole."""
+    monkeypatch.setattr(lg, "BLOCK_ROWS", 7)
+    want = {(f"t{t:02d}", row, 1) for t in range(12) for row in range(9)}
+    counts = spark.createDataFrame(sorted(want, key=lambda x: (x[1], x[0])), "term string, row int, tf int")
+    monkeypatch.setattr(lg.F, "xxhash64", lambda c: lg.F.length(c).cast("long"))
+    blocks = lg.term_blocks(counts).collect()
+    plan = lg.term_blocks(counts)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [hash#" in plan and plan.count(" ASC NULLS FIRST") == 1
+    got, names = set(), [t for b in blocks for t in b["term"]]
+    for b in blocks:
+        _, term, row, value = lg.read_block(b["at"], b["row"], b["tf"], lambda df: np.ones(len(df)))
+        got |= {(b["term"][t], int(r), int(v)) for t, r, v in zip(term, row, value, strict=True)}
+    assert got == want and len(names) == len(set(names)) == 12
+    assert len({(b["part"], b["first"] + i) for b in blocks for i in range(len(b["term"]))}) == 12
